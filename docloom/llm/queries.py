@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, packing
+from docloom.llm import decontam, licences, lm, packing, quality, urls
 from docloom.llm.common import table
 from docloom.llm.registry import register
 
@@ -17,11 +17,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_LICENCE_SQL = f"""
+WITH known AS (
+  SELECT sha256(plain) AS known, min(licence_id) AS licence_id
+  FROM (SELECT licence_id, {licences.canonical_sql("licence_text")} AS plain FROM (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in licences.KNOWN)}) AS v(licence_id, licence_text)) t
+  WHERE plain <> '' GROUP BY 1)
+SELECT d.doc_id, d.digest, k.licence_id
+FROM (SELECT doc_id, sha256({licences.canonical_sql("text")}) AS digest FROM documents) d LEFT JOIN known k ON d.digest = k.known
+"""
+
+
+@register("op1_license_scans", _LICENCE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "licence_id")
+
+
 _DECONTAM_SQL = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (
-  SELECT item_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 wins AS (
   SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
   FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item_id, w, least(13, len(w)) AS n FROM items) t WHERE n > 0) u),
@@ -49,3 +64,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "poor_probability", "toxic_probability", "kept")
+
+
+@register("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    target = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return lm.score(docs, lm.train(docs, target)).select("doc_id", "n_words", "target_loss", "background_loss", "score")
+
+
+@register("op8_url_filters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
