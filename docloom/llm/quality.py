@@ -35,6 +35,8 @@ INSULTS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum",
 TRAIN_ROWS = 12_000
 #: Slots of the hashed scorer, as a power of two.
 BITS = 18
+#: How much likelier a vote for bad is on bad documents than on good ones, at least: of a heuristic, and of a human.
+PRECISE, HUMAN = 50.0, 500.0
 #: Probability of bad beyond which a document is rejected.
 REJECT = 0.5
 
@@ -112,11 +114,13 @@ class Marks:
         """(row, slot) of each document's distinct features, sorted by row."""
         w = self.words
         pick = self.distinct_order
-        begin = np.zeros(len(pick), np.uint64)
+        begin, begins = np.zeros(len(pick), np.uint64), []
         start, end = w.start[pick], w.end[pick]
         for k in range(6):
             inside = start + k < end
             begin[inside] = (begin[inside] << np.uint64(8)) | w.data[start[inside] + k]
+            if k in (3, 5):
+                begins.append(mix(begin ^ np.uint64((0xA5A5 + k) << 48)))
         r = w.row[pick]
         style_rows, style = [], []
         for k, share in enumerate((self.capitals, self.signs, self.bars, self.shouting, self.repeats, self.variety, self.stops)):
@@ -124,8 +128,8 @@ class Marks:
             level = np.searchsorted([0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8], share)
             style.append(mix((np.uint64(1_000_003 * (k + 1)) + level.astype(np.uint64)) << np.uint64(20)))
         bias = np.full(self.rows, mix(np.array([99], np.uint64))[0])
-        row = np.concatenate([r, r, *style_rows, np.arange(self.rows)])
-        hashes = np.concatenate([self.hashes[pick], mix(begin ^ np.uint64(0xA5A5 << 48)), *style, bias])
+        row = np.concatenate([r, r, r, *style_rows, np.arange(self.rows)])
+        hashes = np.concatenate([self.hashes[pick], *begins, *style, bias])
         both = np.unique((row.astype(np.int64) << bits) | (hashes >> np.uint64(64 - bits)).astype(np.int64))
         return both >> bits, both & ((1 << bits) - 1)
 
@@ -158,7 +162,10 @@ def _vote_rows(with_slots: bool, bits: int):
 
 
 def estimate(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple[dict[int, float], list, float]:
-    """EM over combinations of votes: (probability of bad by combination, vote probabilities by labeller and class, share of bad)."""
+    """EM over combinations of votes: (probability of bad by combination, vote probabilities by labeller and class, share of bad).
+
+    Labeller 0 is the human one.
+    """
     if not counts:
         return {}, [], 0.0
     keys = sorted(counts)
@@ -172,6 +179,12 @@ def estimate(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple
             for j in range(labellers):
                 theta[j, c] = np.bincount(votes[:, j], weights=weight, minlength=3) + 0.1
                 theta[j, c] /= theta[j, c].sum()
+        # which class is which: a vote for bad must speak for it
+        for j in range(labellers):
+            most = theta[j, 1, 0] / (HUMAN if j == 0 else PRECISE)
+            if theta[j, 0, 0] > most:
+                theta[j, 0, 1:] *= (1 - most) / theta[j, 0, 1:].sum()
+                theta[j, 0, 0] = most
         log = np.log(theta)
         odds = np.log(share / (1 - share)) + sum(log[j, 1, votes[:, j]] - log[j, 0, votes[:, j]] for j in range(labellers))
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, licences, lm, packing, quality, urls
+from docloom.llm import decontam, kdtree, licences, linededup, lm, neardup, packing, quality, urls
 from docloom.llm.common import table
 from docloom.llm.registry import register
 
@@ -83,3 +83,60 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_url_filters")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@register("op9_minhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_LINES_SQL = f"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+lines AS (
+  SELECT doc_id, text, x, i, row_number() OVER (PARTITION BY doc_id, text ORDER BY i) AS p
+  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs) t
+  WHERE trim(x, ' ') <> ''),
+sums AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id, text ORDER BY p) AS upto FROM lines),
+packed AS (SELECT doc_id, text, list(x ORDER BY p) AS xs, list(upto ORDER BY p) AS ups FROM sums GROUP BY 1, 2),
+runs AS (
+  SELECT s.doc_id, s.text, s.p, need, array_to_string(list_slice(k.xs, s.p, s.p + need - 1), chr(10)) AS run
+  FROM (SELECT a.doc_id, a.text, a.p, min(b.p) - a.p + 1 AS need
+        FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.text = b.text AND b.p >= a.p AND b.p < a.p + {linededup.MIN_CHARS} AND b.upto - a.upto + length(a.x) >= {linededup.MIN_CHARS}
+        GROUP BY 1, 2, 3) s JOIN packed k ON s.doc_id = k.doc_id AND s.text = k.text),
+firsts AS (SELECT run, min((doc_id, p)) AS f FROM runs GROUP BY 1),
+gone AS (
+  SELECT DISTINCT doc_id, text, unnest(range(p, p + need)) AS p
+  FROM (SELECT r.* FROM runs r JOIN firsts f ON r.run = f.run WHERE (r.doc_id, r.p) <> f.f) t),
+spans AS (SELECT g.doc_id, g.text, g.p, l.i, g.p - row_number() OVER (PARTITION BY g.doc_id, g.text ORDER BY g.p) AS grp FROM gone g JOIN lines l ON g.doc_id = l.doc_id AND g.text = l.text AND g.p = l.p),
+stat AS (SELECT doc_id, text, count(*) AS removed_lines, count(DISTINCT grp) AS removed_runs FROM spans GROUP BY 1, 2),
+rest AS (
+  SELECT doc_id, text, string_agg(x, chr(10) ORDER BY i) AS t
+  FROM (SELECT d.doc_id, d.text, d.x, d.i FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs) d
+        LEFT JOIN spans s ON d.doc_id = s.doc_id AND d.text = s.text AND d.i = s.i WHERE s.i IS NULL) t GROUP BY 1, 2)
+SELECT d.doc_id, CAST(coalesce(s.removed_lines, 0) AS BIGINT) AS removed_lines, CAST(coalesce(s.removed_runs, 0) AS BIGINT) AS removed_runs,
+  sha256(CASE WHEN s.doc_id IS NULL THEN d.text ELSE coalesce(r.t, '') END) AS text_sha256
+FROM documents d LEFT JOIN stat s ON d.doc_id = s.doc_id AND d.text = s.text LEFT JOIN rest r ON d.doc_id = r.doc_id AND d.text = r.text
+"""
+
+
+@register("op2_line_dedup", _LINES_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "removed_lines", "removed_runs", F.sha2("text", 256).alias("text_sha256"))
+
+
+_VECTORS_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@register("op3_exact_topk_search", _VECTORS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), kdtree.whole_numbers("embedding").alias("v"))
+    return kdtree.top_k(points, points.where("id % 20 = 0"), k=20)
