@@ -37,6 +37,10 @@ TRAIN_ROWS = 12_000
 BITS = 18
 #: How much likelier a vote for bad is on bad documents than on good ones, at least: of a heuristic, and of a human.
 PRECISE, HUMAN = 50.0, 500.0
+#: Weight in training of a document that no human labelled and no heuristic called bad.
+SILENT = 0.2
+#: A heuristic knows one kind of bad text: it calls bad ones good at least this often, measured by how often it does good ones.
+MISSES = 0.1
 #: Probability of bad beyond which a document is rejected.
 REJECT = 0.5
 
@@ -46,7 +50,7 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 QUALITY_LABELLERS = ("capitals", "signs", "bars", "shouting", "repeats", "variety", "no_words")
-TOXIC_LABELLERS = ("insult", "insults")
+TOXIC_LABELLERS = ("insult",)
 _ABSTAIN = 2
 
 
@@ -105,7 +109,6 @@ class Marks:
         ]
         t = [
             vote(self.insults > 0, self.insults == 0),
-            vote(self.insults > 1, np.zeros(self.rows, bool)),
         ]
         number = lambda votes: sum(v.astype(np.int64) * 3**k for k, v in enumerate(votes))
         return number(q), number(t)
@@ -127,6 +130,10 @@ class Marks:
             style_rows.append(np.arange(self.rows))
             level = np.searchsorted([0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8], share)
             style.append(mix((np.uint64(1_000_003 * (k + 1)) + level.astype(np.uint64)) << np.uint64(20)))
+        for k, number in enumerate(self.votes()):  # what the labellers say of the text is a feature each
+            for j in range((len(QUALITY_LABELLERS), len(TOXIC_LABELLERS))[k]):
+                style_rows.append(np.arange(self.rows))
+                style.append(mix((number // 3**j % 3 + 10 * (j + 20 * k) + 7_000_000).astype(np.uint64) << np.uint64(24)))
         bias = np.full(self.rows, mix(np.array([99], np.uint64))[0])
         row = np.concatenate([r, r, r, *style_rows, np.arange(self.rows)])
         hashes = np.concatenate([self.hashes[pick], *begins, *style, bias])
@@ -185,6 +192,10 @@ def estimate(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple
             if theta[j, 0, 0] > most:
                 theta[j, 0, 1:] *= (1 - most) / theta[j, 0, 1:].sum()
                 theta[j, 0, 0] = most
+            least = MISSES * theta[j, 0, 1]
+            if j and theta[j, 1, 1] < least:
+                theta[j, 1, [0, 2]] *= (1 - least) / theta[j, 1, [0, 2]].sum()
+                theta[j, 1, 1] = least
         log = np.log(theta)
         odds = np.log(share / (1 - share)) + sum(log[j, 1, votes[:, j]] - log[j, 0, votes[:, j]] for j in range(labellers))
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
@@ -195,19 +206,27 @@ def estimate(counts: dict[int, int], labellers: int, rounds: int = 100) -> tuple
     return dict(zip(keys, bad.tolist(), strict=True)), theta.tolist(), share
 
 
-def fit_linear(row: np.ndarray, slot: np.ndarray, target: np.ndarray, bits: int, rounds: int = 120, step: float = 0.5, shrink: float = 2e-4) -> np.ndarray:
-    """Weights of a logistic scorer on binary features, by AdaGrad over the whole sample. row ascends and none is without features."""
-    w = np.zeros(1 << bits)
-    if not len(target):
-        return w.astype(np.float32)
-    at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    seen = np.full(1 << bits, 1e-8)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[slot], at), -30, 30)))
-        g = np.bincount(slot, weights=np.repeat(p - target, np.diff(np.append(at, len(row)))), minlength=1 << bits) / len(target) + shrink * w
-        seen += g * g
-        w -= step * g / np.sqrt(seen)
-    return w.astype(np.float32)
+def fit_linear(row: np.ndarray, slot: np.ndarray, target: np.ndarray, weight: np.ndarray, bits: int, epochs: int = 12, batch: int = 64, step: float = 0.05, shrink: float = 1e-6) -> np.ndarray:
+    """Weights of a logistic scorer on binary features: AdaGrad in small batches, the mean of the later epochs.
+
+    row ascends from 0 and none is without features; the order of the rows is taken as it comes.
+    """
+    w, seen, total = np.zeros(1 << bits), np.full(1 << bits, 1e-6), np.zeros(1 << bits)
+    n = len(target)
+    at = np.searchsorted(row, np.arange(n + 1))
+    for epoch in range(epochs):
+        for i in range(0, n, batch):
+            j = min(n, i + batch)
+            mine, first = slot[at[i] : at[j]], at[i:j] - at[i]
+            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[mine], first), -30, 30)))
+            slots, where = np.unique(mine, return_inverse=True)
+            each = np.repeat((p - target[i:j]) * weight[i:j], np.diff(np.append(first, len(mine))))
+            g = np.bincount(where.reshape(-1), weights=each) / (j - i) + shrink * w[slots]
+            seen[slots] += g * g
+            w[slots] -= step * g / np.sqrt(seen[slots])
+        if 2 * epoch >= epochs:
+            total += w
+    return (total / max(1, epochs - (epochs + 1) // 2)).astype(np.float32)
 
 
 class Model:
@@ -217,6 +236,15 @@ class Model:
         self.bits, self.quality, self.toxic, self.labellers = bits, quality, toxic, labellers
 
 
+def _says_bad(votes: int) -> bool:
+    """Whether any labeller of the combination votes bad."""
+    while votes:
+        votes, one = divmod(votes, 3)
+        if one == 0:
+            return True
+    return False
+
+
 def _human(labels: DataFrame | None, ids: DataFrame) -> DataFrame:
     """Votes with the human ones put in front: one row a document."""
     if labels is None:
@@ -243,14 +271,16 @@ def train(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "do
     bad_t, theta_t, share_t = estimate(counts_t, len(TOXIC_LABELLERS) + 1)
     total = sum(counts_q.values())
     sample = source if total <= train_rows else source.where(F.rand(seed) < train_rows / total)
-    rows = _human(labels, sample.mapInArrow(_vote_rows(True, bits), f"doc_id {kind}, q long, t long, slots array<int>")).select("q", "t", "slots").toArrow()
+    rows = _human(labels, sample.mapInArrow(_vote_rows(True, bits), f"doc_id {kind}, q long, t long, slots array<int>")).select("q", "t", "slots", F.xxhash64("doc_id", F.size("slots"), F.element_at("slots", F.lit(-1))).alias("order")).toArrow()
+    rows = rows.sort_by("order")  # the same order whatever the partitioning
     slot = rows.column("slots").combine_chunks()
     slot = slot.chunk(0) if isinstance(slot, pa.ChunkedArray) else slot
     length = np.diff(np.asarray(slot.offsets)) if len(slot) else np.zeros(0, np.int64)
     row, slot = np.repeat(np.arange(len(length)), length), np.asarray(slot.flatten()) if len(length) else np.zeros(0, np.int32)
-    goal = lambda name, bad: np.array([bad[k] for k in rows.column(name).to_pylist()], float)
+    goal = lambda name, bad: np.array([bad[k] > 0.5 for k in rows.column(name).to_pylist()], float)
+    sure = lambda name: np.array([1.0 if k % 3 != _ABSTAIN or _says_bad(k) else SILENT for k in rows.column(name).to_pylist()])
     said = {"quality": (share_q, dict(zip(("human", *QUALITY_LABELLERS), theta_q, strict=False))), "toxic": (share_t, dict(zip(("human", *TOXIC_LABELLERS), theta_t, strict=False)))}
-    return Model(bits, fit_linear(row, slot, goal("q", bad_q), bits), fit_linear(row, slot, goal("t", bad_t), bits), said)
+    return Model(bits, fit_linear(row, slot, goal("q", bad_q), sure("q"), bits), fit_linear(row, slot, goal("t", bad_t), sure("t"), bits), said)
 
 
 def _scorer(model: Model, text_at: int):
