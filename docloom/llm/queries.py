@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, kdtree, licences, linededup, lm, neardup, packing, quality, urls
+from docloom.llm import decontam, kdtree, licences, linededup, lm, neardup, packing, quality, substrings, urls
 from docloom.llm.common import table
 from docloom.llm.registry import register
 
@@ -140,3 +140,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), kdtree.whole_numbers("embedding").alias("v"))
     return kdtree.top_k(points, points.where("id % 20 = 0"), k=20)
+
+
+@register("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup_substrings(docs, keep_text=False)
