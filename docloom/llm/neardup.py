@@ -8,10 +8,11 @@
    does), so it is enough to index the k - LEAST x k + 1 values of a sketch that are
    rarest over all nodes: common passages stay out of the lists.
 3. Lists are worked off in rounds. A short list gives its pairs; a long one
-   gives pairs of each member with a few hubs, twice as many each round. Only
-   pairs across components known so far count, a list inside one component is
-   done, and hubs leave their lists: no pair that could matter is left out, and
-   a group of near copies of any size costs a few rows for each member.
+   gives pairs of each member with a few hubs, eight times as many each round.
+   Only pairs across components known so far count, and only of sets whose sizes
+   allow a link; a list inside one component is done, and hubs leave their lists:
+   no pair that could matter is left out, and a group of near copies of any size
+   costs a few rows for each member.
 4. Pairs pass a filter on the estimate from the union's sketch; the full sets
    decide.
 5. Links are contracted to components after each round.
@@ -137,11 +138,15 @@ def _confirm(percent: int):
     return run
 
 
+def _sizes(a: str, b: str, percent: int):
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    sketch = nodes.select("key", "n", "sketch")
-    found = pairs.join(sketch.toDF("a", "na", "sa"), "a").where(F.col("na").isNotNull()).join(sketch.toDF("b", "nb", "sb"), "b")
-    found = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sketch = nodes.select("key", "sketch")
+    found = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
     found = written(found.where(common >= LEAST * F.size(union)).select("a", "b"), "pairs")
@@ -164,12 +169,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     lead = base.where("key IS NOT NULL").join(heads.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("head")), "inner").drop("_key")
     nodes = written(lead.select("key", "head", "n", "sketch").dropDuplicates(["key"]), "nodes")
     # inverted lists of the rarest retained values
-    values = nodes.select("key", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    values = nodes.select("key", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    mine = values.join(shared, "v").groupBy("key", "k").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # k values at most
+    mine = values.join(shared, "v").groupBy("key", "k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # k values at most
     need = F.ceil(F.lit(LEAST) * F.col("k")).cast("int")
     width = F.col("k") - need + 1 - (F.col("k") - F.size("shared"))  # values of one node alone take their places first
-    lists = mine.select("key", F.explode(F.slice("shared", 1, F.greatest(width, F.lit(0)))).alias("x")).select(F.col("x.v").alias("v"), "key")
+    lists = mine.select("key", "n", F.explode(F.slice("shared", 1, F.greatest(width, F.lit(0)))).alias("x")).select(F.col("x.v").alias("v"), "key", "n")
     lists = written(lists, "lists")
     label = None  # (node, root) of the components so far
     hubs = 1
@@ -177,7 +182,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         if label is None:
             at = lists.withColumn("comp", F.col("key"))
         else:
-            at = lists.join(label.toDF("key", "root"), "key", "left").select("v", "key", F.coalesce("root", "key").alias("comp"))
+            at = lists.join(label.toDF("key", "root"), "key", "left").select("v", "key", "n", F.coalesce("root", "key").alias("comp"))
         active = at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("v", "size")
         at = written(at.join(active, "v"), "lists")
         forget(lists)
@@ -185,12 +190,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             forget(at)
             break
         short, long = at.where(F.col("size") <= SHORT), at.where(F.col("size") > SHORT)
-        one, two = short.select("v", F.col("key").alias("x"), F.col("comp").alias("cx")), short.select("v", F.col("key").alias("y"), F.col("comp").alias("cy"))
-        near = one.join(two, "v").where("x < y AND cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        one, two = short.select("v", F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx")), short.select("v", F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
+        near = one.join(two, "v").where("x < y AND cx <> cy").where(_sizes("nx", "ny", percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         order = F.xxhash64("key")
-        hub = long.groupBy("v", F.pmod(order, F.lit(hubs)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("key"), F.col("comp"))).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+        hub = long.groupBy("v", F.pmod(order, F.lit(hubs)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("key"), F.col("comp"), F.col("n"))).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"))
         hub = written(hub, "hubs")
-        far = long.join(hub, "v").where("comp <> hub_comp").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+        far = long.join(hub, "v").where("comp <> hub_comp").where(_sizes("n", "hub_n", percent)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
         pairs = written(near.union(far).distinct(), "candidates")
         links = _links(pairs, nodes, source, shingle, percent, k)
         if label is None:
@@ -200,9 +205,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             edges = links.join(root, F.col("a") == F.col("_n"), "left").select(F.coalesce("_r", "a").alias("a"), "b")
             edges = edges.join(root, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_r", "b").alias("b")).union(root.select("_n", "_r"))
         new = components(edges)
-        lists = written(long.join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti").select("v", "key"), "lists")
+        lists = written(long.join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti").select("v", "key", "n"), "lists")
         forget(at, hub, pairs, links)
-        label, hubs = new, hubs * 2
+        label, hubs = new, hubs * 8
     if label is None:
         whole = heads.withColumn("comp", F.col("key"))
     else:
