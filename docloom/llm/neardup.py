@@ -2,17 +2,19 @@
 
 1. A document is its set of distinct word shingles, hashed once. Documents with
    equal sets are one node from here on, whatever their number.
-2. A node's sketch is the k smallest hashes of its set. Two sets with a Jaccard
-   similarity of at least the threshold share far more than ``LEAST`` of their
-   sketch values (for k = 64 and 0.75 all but one pair in a thousand million
-   does), so it is enough to index the k - LEAST x k + 1 values of a sketch that are
-   rarest over all nodes: common passages stay out of the lists.
+2. A node's sketch is the k smallest hashes of its set. Sets up to k are their
+   own sketches, so it is known how many values two similar ones share at least:
+   the smaller has to share more of its own than the larger. Of larger sets
+   similar ones share far more than ``LEAST`` of their sketch values (for k = 64
+   and 0.75 all but one pair in ten million at the very threshold does). So it is
+   enough to index a sketch's rarest values, over all nodes, up to the number
+   that it may fail to share and one more: common passages stay out of the lists.
 3. Lists are worked off in rounds. A short list gives its pairs; a long one
-   gives pairs of each member with a few hubs, eight times as many each round.
+   gives pairs of each member with a few hubs, four times as many each round.
    Only pairs across components known so far count, and only of sets whose sizes
-   allow a link; a list inside one component is done, and hubs leave their lists:
-   no pair that could matter is left out, and a group of near copies of any size
-   costs a few rows for each member.
+   and places allow a link; a list inside one component is done, and hubs leave
+   their lists: no pair that could matter is left out, and a group of near copies
+   of any size costs a few rows for each member.
 4. Pairs pass a filter on the estimate from the union's sketch; the full sets
    decide.
 5. Links are contracted to components after each round.
@@ -41,7 +43,7 @@ from docloom.llm.textops import NONSPACE, Words, mix, slices, text_bytes, window
 #: Words of a shingle, and percent of the union that the intersection must reach.
 SHINGLE, PERCENT = 5, 75
 #: Values of a sketch, and the share of them that two linked sets have in common at least.
-SKETCH, LEAST = 64, 0.375
+SKETCH, LEAST = 64, 0.4375
 #: Members of a list whose pairs are taken at once.
 SHORT = 8
 #: Ids small enough to send to all tasks.
@@ -143,13 +145,22 @@ def _sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _front(n: str, key: str, front: str, m: str, other: str, other_front: str | None):
+    """Whether the smaller of two sets has the value at its front; None: the other's is."""
+    smaller = (F.col(n) < F.col(m)) | ((F.col(n) == F.col(m)) & (F.col(key) < F.col(other)))
+    return F.when(smaller, F.col(front)).otherwise(F.col(other_front) if other_front else F.lit(True))
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    sketch = nodes.select("key", "sketch")
-    found = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
+    sketch = nodes.select("key", "n", "sketch")
+    found = pairs.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
-    found = written(found.where(common >= LEAST * F.size(union)).select("a", "b"), "pairs")
+    whole = (F.col("na") <= k) & (F.col("nb") <= k)  # then the sketches are the sets
+    both = F.size(F.array_intersect("sa", "sb"))
+    likely = F.when(whole, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(common >= LEAST * F.size(union))
+    found = written(found.where(likely).select("a", "b"), "pairs")
     ids = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "head"), "key")
     chosen = docs.join(small_side(ids.select(F.col("head").alias("_head")).distinct(), SMALL_IDS), F.col("doc_id") == F.col("_head"), "left_semi")
     sets = written(chosen.select("text").mapInArrow(_set_rows(shingle), "key binary, full array<long>").where("key IS NOT NULL").join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
@@ -172,30 +183,36 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     values = nodes.select("key", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     mine = values.join(shared, "v").groupBy("key", "k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # k values at most
-    need = F.ceil(F.lit(LEAST) * F.col("k")).cast("int")
-    width = F.col("k") - need + 1 - (F.col("k") - F.size("shared"))  # values of one node alone take their places first
-    lists = mine.select("key", "n", F.explode(F.slice("shared", 1, F.greatest(width, F.lit(0)))).alias("x")).select(F.col("x.v").alias("v"), "key", "n")
-    lists = written(lists, "lists")
+    # values shared at least with a set that is no larger, and with one that is no smaller
+    full = F.col("n") <= k
+    large = int(np.ceil(LEAST * k))
+    with_smaller = F.when(full, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(large)).cast("int")
+    cut = F.lit(k) + F.col("n") - F.floor(F.col("n") * 100 / percent)  # what a larger set's sketch still holds
+    with_larger = F.when(full, F.least(F.ceil(F.col("n") * 2 * percent / (100 + percent)), F.greatest(cut, F.lit(1)))).otherwise(F.lit(large)).cast("int")
+    alone = F.col("k") - F.size("shared")  # values of one node alone are the rarest
+    width = lambda need: F.greatest(F.col("k") - need + 1 - alone, F.lit(0))
+    lists = mine.select("key", "n", width(with_larger).alias("w"), F.posexplode(F.slice("shared", 1, F.greatest(width(with_smaller), width(with_larger)))).alias("i", "x"))
+    lists = written(lists.select(F.col("x.v").alias("v"), "key", "n", (F.col("i") < F.col("w")).alias("front")), "lists")
     label = None  # (node, root) of the components so far
     hubs = 1
     while True:
         if label is None:
             at = lists.withColumn("comp", F.col("key"))
         else:
-            at = lists.join(label.toDF("key", "root"), "key", "left").select("v", "key", "n", F.coalesce("root", "key").alias("comp"))
-        active = at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("v", "size")
+            at = lists.join(label.toDF("key", "root"), "key", "left").select("v", "key", "n", "front", F.coalesce("root", "key").alias("comp"))
+        active = at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.max("front").alias("some")).where("lo <> hi AND some").select("v", "size")
         at = written(at.join(active, "v"), "lists")
         forget(lists)
         if at.limit(1).count() == 0:
             forget(at)
             break
         short, long = at.where(F.col("size") <= SHORT), at.where(F.col("size") > SHORT)
-        one, two = short.select("v", F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx")), short.select("v", F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
-        near = one.join(two, "v").where("x < y AND cx <> cy").where(_sizes("nx", "ny", percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        one, two = short.select("v", F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("front").alias("fx")), short.select("v", F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("front").alias("fy"))
+        near = one.join(two, "v").where("x < y AND cx <> cy").where(_sizes("nx", "ny", percent) & _front("nx", "x", "fx", "ny", "y", "fy")).select(F.col("x").alias("a"), F.col("y").alias("b"))
         order = F.xxhash64("key")
-        hub = long.groupBy("v", F.pmod(order, F.lit(hubs)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("key"), F.col("comp"), F.col("n"))).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"))
+        hub = long.where("front").groupBy("v", F.pmod(order, F.lit(hubs)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("key"), F.col("comp"), F.col("n"))).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"))
         hub = written(hub, "hubs")
-        far = long.join(hub, "v").where("comp <> hub_comp").where(_sizes("n", "hub_n", percent)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+        far = long.join(hub, "v").where("comp <> hub_comp").where(_sizes("n", "hub_n", percent) & _front("n", "key", "front", "hub_n", "hub", None)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
         pairs = written(near.union(far).distinct(), "candidates")
         links = _links(pairs, nodes, source, shingle, percent, k)
         if label is None:
@@ -205,9 +222,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             edges = links.join(root, F.col("a") == F.col("_n"), "left").select(F.coalesce("_r", "a").alias("a"), "b")
             edges = edges.join(root, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_r", "b").alias("b")).union(root.select("_n", "_r"))
         new = components(edges)
-        lists = written(long.join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti").select("v", "key", "n"), "lists")
+        lists = written(long.join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti").select("v", "key", "n", "front"), "lists")
         forget(at, hub, pairs, links)
-        label, hubs = new, hubs * 8
+        label, hubs = new, hubs * 4
     if label is None:
         whole = heads.withColumn("comp", F.col("key"))
     else:
