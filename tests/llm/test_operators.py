@@ -255,7 +255,7 @@ def test_quality_classifier(spark):
 
 def test_lm_prefers_the_target(spark):
     rng = random.Random(9)
-    a, b = ([f"{c}{k}" for k in range(50)] for c in "ab")
+    a, b = ([f"{c}{k}" for k in range(8)] for c in "ab")
     rows = [(i, " ".join(rng.choice(a if i % 2 else b) for _ in range(60)), "s") for i in range(200)] + [(500, None, "s"), (501, "", "s"), (502, "?!", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
     target = spark.createDataFrame([(i,) for i in range(1, 120, 2)] + [(None,), (9999,)], "id long")
