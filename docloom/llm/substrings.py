@@ -43,7 +43,7 @@ LENGTH = 400
 #: Different runs of one name that one task settles at a time, and runs of a task in all.
 CHUNK, TASK = 2_048, 20_000
 #: Rows of a side small enough to send to all tasks: names, and documents with their places.
-SMALL_NAMES, SMALL_DOCS = 1_000_000, 20_000
+SMALL_NAMES, SMALL_DOCS = 1_000_000, 200_000
 #: Bytes of one text handled at a time.
 SEGMENT = 4 << 20
 
