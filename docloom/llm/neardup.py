@@ -10,7 +10,9 @@
    enough to index a sketch's rarest values, over all nodes, up to the number
    that it may fail to share and one more: common passages stay out of the lists.
 3. Lists are worked off in rounds. A short list gives its pairs; a long one
-   gives pairs of each member with a few hubs, four times as many each round.
+   gives pairs of each member with a few hubs, four times as many each round: those
+   first that have the fewest values of their own, as an original has whose
+   altered copies are like it but not like each other.
    Only pairs across components known so far count, and only of sets whose sizes
    and places allow a link; a list inside one component is done, and hubs leave
    their lists: no pair that could matter is left out, and a group of near copies
@@ -31,6 +33,8 @@ are not carried by ``near_duplicates`` and pass through ``keep_one``.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +48,8 @@ from docloom.llm.textops import NONSPACE, Words, mix, slices, text_bytes, window
 SHINGLE, PERCENT = 5, 75
 #: Values of a sketch, and the share of them that two linked sets have in common at least.
 SKETCH, LEAST = 64, 0.4375
+#: Probability of missing a pair at the very threshold.
+RARELY = 1e-7
 #: Members of a list whose pairs are taken at once.
 SHORT = 8
 #: Ids small enough to send to all tasks.
@@ -145,10 +151,31 @@ def _sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _front(n: str, key: str, front: str, m: str, other: str, other_front: str | None):
-    """Whether the smaller of two sets has the value at its front; None: the other's is."""
-    smaller = (F.col(n) < F.col(m)) | ((F.col(n) == F.col(m)) & (F.col(key) < F.col(other)))
-    return F.when(smaller, F.col(front)).otherwise(F.col(other_front) if other_front else F.lit(True))
+def _surely(k: int, share: float) -> int:
+    """The most values that k draws, each common with this probability, fail to have in common once in ten million times."""
+    below = 0.0
+    for c in range(k + 1):
+        below += comb(k, c) * share**c * (1 - share) ** (k - c)
+        if below > RARELY:
+            return c
+    return k
+
+
+def _common(a: str, b: str, percent: int, k: int):
+    """How many values the sketches of two sets of these sizes share at least, if the sets are similar enough."""
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    sets = F.ceil((lo + hi) * percent / (100 + percent))
+    # of the larger set's sketch each value is common with a probability of this share or more
+    most = 2 * percent / (100 + percent)
+    shares = np.linspace(percent / 100, most, 8)[:-1]
+    large = F.greatest(F.lit(_surely(k, float(shares[0]))), *[F.when(sets >= hi * float(x), _surely(k, float(x))) for x in shares[1:]])
+    return F.when(hi <= k, sets).when(lo <= k, F.greatest(sets - (hi - k), F.lit(1))).otherwise(large)
+
+
+def _front(n: str, at: str, m: str, other_at: str, percent: int, k: int):
+    """Whether both sets have the value among the rarest by which alone they would have to meet."""
+    need = _common(n, m, percent, k)
+    return (F.col(at) <= F.least(F.col(n), F.lit(k)) - need) & (F.col(other_at) <= F.least(F.col(m), F.lit(k)) - need)
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
@@ -159,7 +186,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, pe
     common = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
     whole = (F.col("na") <= k) & (F.col("nb") <= k)  # then the sketches are the sets
     both = F.size(F.array_intersect("sa", "sb"))
-    likely = F.when(whole, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(common >= LEAST * F.size(union))
+    likely = F.when(whole, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise((both >= _common("na", "nb", percent, k)) & (common >= LEAST * F.size(union)))
     found = written(found.where(likely).select("a", "b"), "pairs")
     ids = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "head"), "key")
     chosen = docs.join(small_side(ids.select(F.col("head").alias("_head")).distinct(), SMALL_IDS), F.col("doc_id") == F.col("_head"), "left_semi")
@@ -176,13 +203,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     kind = source.schema["doc_id"].dataType.simpleString()
     base = written(source.mapInArrow(_sketcher(shingle, k), f"doc_id {kind}, n long, key binary, sketch array<long>"), "sketches")
     # equal sets are one node
-    heads = base.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("head"))
-    lead = base.where("key IS NOT NULL").join(heads.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("head")), "inner").drop("_key")
+    smallest_ids = lambda rows: rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("head"))
+    lead = base.where("key IS NOT NULL").join(smallest_ids(base).withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("head")), "inner").drop("_key")
     nodes = written(lead.select("key", "head", "n", "sketch").dropDuplicates(["key"]), "nodes")
+    thin = written(base.select("doc_id", "n", "key"), "documents")
+    forget(base)
+    heads = smallest_ids(thin)
     # inverted lists of the rarest retained values
-    values = nodes.select("key", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    values = nodes.select("key", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    mine = values.join(shared, "v").groupBy("key", "k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # k values at most
+    mine = values.join(shared, "v").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # k values at most
+    mine = mine.join(nodes.select("key", "n", F.size("sketch").alias("k")), "key")
     # values shared at least with a set that is no larger, and with one that is no smaller
     full = F.col("n") <= k
     large = int(np.ceil(LEAST * k))
@@ -191,15 +222,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     with_larger = F.when(full, F.least(F.ceil(F.col("n") * 2 * percent / (100 + percent)), F.greatest(cut, F.lit(1)))).otherwise(F.lit(large)).cast("int")
     alone = F.col("k") - F.size("shared")  # values of one node alone are the rarest
     width = lambda need: F.greatest(F.col("k") - need + 1 - alone, F.lit(0))
-    lists = mine.select("key", "n", width(with_larger).alias("w"), F.posexplode(F.slice("shared", 1, F.greatest(width(with_smaller), width(with_larger)))).alias("i", "x"))
-    lists = written(lists.select(F.col("x.v").alias("v"), "key", "n", (F.col("i") < F.col("w")).alias("front")), "lists")
+    lists = mine.select("key", "n", alone.alias("alone"), width(with_larger).alias("w"), F.posexplode(F.slice("shared", 1, F.greatest(width(with_smaller), width(with_larger)))).alias("i", "x"))
+    lists = written(lists.select(F.col("x.v").alias("v"), "key", "n", "alone", (F.col("alone") + F.col("i")).alias("at"), (F.col("i") < F.col("w")).alias("front")), "lists")
     label = None  # (node, root) of the components so far
     hubs = 1
     while True:
         if label is None:
             at = lists.withColumn("comp", F.col("key"))
         else:
-            at = lists.join(label.toDF("key", "root"), "key", "left").select("v", "key", "n", "front", F.coalesce("root", "key").alias("comp"))
+            at = lists.join(label.toDF("key", "root"), "key", "left").select("v", "key", "n", "alone", "at", "front", F.coalesce("root", "key").alias("comp"))
         active = at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.max("front").alias("some")).where("lo <> hi AND some").select("v", "size")
         at = written(at.join(active, "v"), "lists")
         forget(lists)
@@ -207,12 +238,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             forget(at)
             break
         short, long = at.where(F.col("size") <= SHORT), at.where(F.col("size") > SHORT)
-        one, two = short.select("v", F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("front").alias("fx")), short.select("v", F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("front").alias("fy"))
-        near = one.join(two, "v").where("x < y AND cx <> cy").where(_sizes("nx", "ny", percent) & _front("nx", "x", "fx", "ny", "y", "fy")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        one, two = short.select("v", F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax")), short.select("v", F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+        near = one.join(two, "v").where("x < y AND cx <> cy").where(_sizes("nx", "ny", percent) & _front("nx", "ax", "ny", "ay", percent, k)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         order = F.xxhash64("key")
-        hub = long.where("front").groupBy("v", F.pmod(order, F.lit(hubs)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("key"), F.col("comp"), F.col("n"))).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"))
+        hub = long.where("front").groupBy("v", F.pmod(order, F.lit(hubs)).alias("slot")).agg(F.min(F.struct("alone", order.alias("h"), F.col("key"), F.col("comp"), F.col("n"), F.col("at"))).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
         hub = written(hub, "hubs")
-        far = long.join(hub, "v").where("comp <> hub_comp").where(_sizes("n", "hub_n", percent) & _front("n", "key", "front", "hub_n", "hub", None)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+        far = long.join(hub, "v").where("comp <> hub_comp").where(_sizes("n", "hub_n", percent) & _front("n", "at", "hub_n", "hub_at", percent, k)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
         pairs = written(near.union(far).distinct(), "candidates")
         links = _links(pairs, nodes, source, shingle, percent, k)
         if label is None:
@@ -222,7 +253,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             edges = links.join(root, F.col("a") == F.col("_n"), "left").select(F.coalesce("_r", "a").alias("a"), "b")
             edges = edges.join(root, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_r", "b").alias("b")).union(root.select("_n", "_r"))
         new = components(edges)
-        lists = written(long.join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti").select("v", "key", "n", "front"), "lists")
+        lists = written(long.join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti").select("v", "key", "n", "alone", "at", "front"), "lists")
         forget(at, hub, pairs, links)
         label, hubs = new, hubs * 4
     if label is None:
@@ -232,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     whole = written(whole, "heads")
     smallest = whole.groupBy("comp").agg(F.min("head").alias("component"))
     named = whole.join(smallest, "comp").select("key", "component")
-    out = base.select("doc_id", "n", "key").join(named, "key", "left")
+    out = thin.join(named, "key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
