@@ -108,7 +108,9 @@ def _sketcher(size: int, k: int):
                 low = np.arange(len(row)) - np.repeat(at, n) < k
                 lists = np.zeros(rows + 1, np.int32)
                 np.cumsum(np.minimum(n, k), out=lists[1:])
-                sketch = pa.ListArray.from_arrays(pa.array(lists), pa.array(value[low].view(np.int64)))
+                # signed numbers in the order of the hashes, so that Spark sorts a union as it was cut
+                signed = (value[low] ^ np.uint64(1 << 63)).view(np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(lists), pa.array(signed))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_keys(row, value, n), pa.binary()), sketch], names=["doc_id", "n", "key", "sketch"])
 
     return run

@@ -356,6 +356,15 @@ def test_near_duplicates(spark, rows):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rows = []
+    for i in range(500):  # 90 of 120 shingles: sketches that reach the upper half of the hashes
+        w = [f"p{i}x{k}" for k in range(124)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:94]))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, EMPTY).repartition(4)).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out} == {(i, 90 if i % 2 else 120, i - i % 2) for i, _ in rows}
+
+
 def test_keep_one(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1), (1, "A b c d  e f", 2), (2, "other words", 3), (4, None, 4)], "doc_id long, text string, kept int")
     out = neardup.keep_one(df)
