@@ -1,135 +1,169 @@
 """Language-model scoring: cross-entropy difference of a target and a background bigram model.
 
-Both models count words and word pairs in the same hashed vocabulary: the
-background over all documents, the target over the documents marked as target.
-Each task counts its rows in tables of fixed size; the non-empty slots of all
-tasks are summed, so what is gathered grows with the corpus and the model does
-not. The background's counts are scaled to the target's number of words
-(matched models, so that smoothing weighs alike), pairs fall back to words, and
-words to a uniform share of the vocabulary. A document's score is the
-difference of the two losses by word; the lower, the nearer to the target.
+Both models count words and word pairs, the background over all documents, the
+target over the documents marked as target. Words and pairs are known by 64-bit
+hashes, and their counts are tables of as many rows as the corpus has distinct
+ones: nothing is capped, so the model grows with the corpus. Documents are scored
+by joins: the distinct pairs get their losses from the counts, the pairs of each
+text get them by pair, and a text's sums are grouped by its hash. The background's
+counts are scaled to the target's number of words (matched models, so that
+smoothing weighs alike), pairs fall back to words, and words to a uniform share of
+the vocabulary. A document's score is the difference of the two losses by word;
+the lower, the nearer to the target.
 
 Defined cases: a null or wordless text has no words and null losses and score;
 null and unknown ids in the target table mark nothing; repeated rows count and
-are scored each; without target documents the target model is uniform; an empty
-table gives no rows; other columns pass through.
+are scored each; without target documents the target model is uniform; pairs and
+words that the model has not seen count as 0; an empty table gives no rows; other
+columns pass through.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from docloom.llm.common import small_side
+from docloom.llm.common import small_side, written
 from docloom.llm.textops import ALNUM, Words, mix, slices, text_bytes
 
-#: Slots for words and for pairs, as powers of two; they bound the model.
-WORD_BITS, PAIR_BITS = 18, 20
-#: Weight of the fallback, in words, and of the uniform share, in words by slot.
+#: Weight of the fallback, in words, and of the uniform share, in words of the vocabulary.
 FALLBACK, UNIFORM = 50.0, 0.1
 #: Rows of a target table small enough to send to all tasks (16 MB of ids).
 TARGET_ROWS = 2_000_000
+#: Words, and texts, few enough to send their counts or sums to all tasks.
+SMALL_WORDS, SMALL_TEXTS = 1_000_000, 300_000
+#: What stands before a document's first word.
+START = np.uint64(0x5EED << 40)
 
 
-def _slots(words: Words, word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slot of each word, of the word before it (the document's start has one too), and of the pair."""
+def _hashed(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, of the word before it (the document's start has one too), and of the pair."""
     h = words.hashes()
     before = np.empty_like(h)
     if len(h):
         before[1:] = h[:-1]
         first = np.ones(len(h), bool)
         first[1:] = words.row[1:] != words.row[:-1]
-        before[first] = np.uint64(0x5EED << 40)
+        before[first] = START
     with np.errstate(over="ignore"):
         pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
-    slot = lambda x, bits: (x >> np.uint64(64 - bits)).astype(np.int64)
-    return slot(h, word_bits), slot(before, word_bits), slot(pair, pair_bits)
-
-
-def _counter(word_bits: int, pair_bits: int):
-    def run(batches):
-        size = {0: 1 << word_bits, 1: 1 << word_bits, 2: 1 << pair_bits}
-        counts = {(k, t): np.zeros(n, np.int64) for k, n in size.items() for t in (False, True)}
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                data, off, _ = text_bytes(batch.column(0))
-                words = Words(data, off, ALNUM)
-                marked = np.asarray(batch.column(1).fill_null(False))[words.row]
-                for k, s in enumerate(_slots(words, word_bits, pair_bits)):
-                    counts[k, False] += np.bincount(s, minlength=size[k])
-                    if marked.any():
-                        counts[k, True] += np.bincount(s[marked], minlength=size[k])
-        for k in size:
-            used = np.flatnonzero(counts[k, False])
-            for i in range(0, len(used), 100_000):
-                at = used[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(at + (k << 32)), pa.array(counts[k, False][at]), pa.array(counts[k, True][at])], names=["slot", "background", "target"])
-
-    return run
+    return h, before, pair
+
+
+def _counted(value: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, a place of each, and how often it occurs in all and in marked places."""
+    out, at, inverse = np.unique(value, return_index=True, return_inverse=True)
+    n = np.bincount(inverse, minlength=len(out))
+    return out, at, n, np.bincount(inverse, weights=marked, minlength=len(out)).astype(np.int64)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _word_counts(batches):
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            data, off, _ = text_bytes(batch.column(0))
+            words = Words(data, off, ALNUM)
+            marked = np.asarray(batch.column(1))[words.row]
+            h, before, _ = _hashed(words)
+            for value, at in ((h, 0), (before, 2)):
+                word, _, n, m = _counted(value, marked)
+                none = np.zeros(len(word), np.int64)
+                counts = [none, none, none, none]
+                counts[at : at + 2] = n, m
+                yield pa.RecordBatch.from_arrays([_signed(word), *map(pa.array, counts)], names=["word", "n", "m", "cn", "cm"])
+
+
+def _pair_counts(batches):
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            data, off, _ = text_bytes(batch.column(0))
+            words = Words(data, off, ALNUM)
+            h, before, pair = _hashed(words)
+            pair, at, n, m = _counted(pair, np.asarray(batch.column(1))[words.row])
+            yield pa.RecordBatch.from_arrays([_signed(pair), _signed(h[at]), _signed(before[at]), pa.array(n), pa.array(m)], names=["pair", "word", "before", "n", "m"])
+
+
+def _text_pairs(batches):
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            data, off, _ = text_bytes(batch.column(1))
+            words = Words(data, off, ALNUM)
+            pair = _hashed(words)[2]
+            order = np.lexsort((pair, words.row))
+            row, pair = words.row[order], pair[order]
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
+            at = np.flatnonzero(fresh)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), _signed(pair[at]), pa.array(np.diff(np.append(at, len(row))))], names=["key", "pair", "times"])
+
+
+@dataclass
+class Model:
+    """Counts over one vocabulary: n in all documents, m in target ones; cn and cm as the word before another."""
 
+    texts: DataFrame
+    pairs: DataFrame
+    words: DataFrame
+    background: int
+    target: int
+    vocabulary: int
 
-class Model:
-    """Log-losses from two tables of counts over one vocabulary."""
-
-    def __init__(self, slot: np.ndarray, background: np.ndarray, target: np.ndarray, word_bits: int, pair_bits: int):
-        self.word_bits, self.pair_bits = word_bits, pair_bits
-        self.vocabulary = max(1, int(((slot >> 32) == 0).sum()))
-        size = {0: 1 << word_bits, 1: 1 << word_bits, 2: 1 << pair_bits}
-        total = [int(c[(slot >> 32) == 0].sum()) for c in (background, target)]
-        self.tables = []
-        for which, counts in enumerate((background, target)):
-            scale = total[1] / total[0] if which == 0 and total[1] and total[0] else 1.0
-            tables = []
-            for k, n in size.items():
-                mine = (slot >> 32) == k
-                t = np.zeros(n, np.float32)
-                t[slot[mine] & 0xFFFFFFFF] = counts[mine] * scale
-                tables.append(t)
-            self.tables.append((total[which] * scale, *tables))
-
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss in nats of each word under the target and the background."""
-        out = []
-        for total, words, contexts, pairs in (self.tables[1], self.tables[0]):
-            single = (words[word].astype(np.float64) + UNIFORM) / (total + UNIFORM * self.vocabulary)
-            out.append(-np.log((pairs[pair] + FALLBACK * single) / (contexts[before].astype(np.float64) + FALLBACK)))
-        return out[0], out[1]
-
-
-def train(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> Model:
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """pair, and its loss in nats under the target and the background."""
+        single = small_side(self.words.where("n > 0").select("word", F.col("n").alias("wn"), F.col("m").alias("wm")), SMALL_WORDS)
+        context = small_side(self.words.where("cn > 0").select(F.col("word").alias("before"), "cn", "cm"), SMALL_WORDS)
+        scale = self.target / self.background if self.target and self.background else 1.0
+
+        def loss(pair: str, word: str, before: str, total: float, scale: float):
+            count = lambda c: F.coalesce(F.col(c), F.lit(0)) * F.lit(scale)
+            one = (count(word) + UNIFORM) / (total + UNIFORM * self.vocabulary)
+            return -F.log((count(pair) + FALLBACK * one) / (count(before) + FALLBACK))
+
+        all_ = pairs.join(single, "word", "left").join(context, "before", "left")
+        return all_.select("pair", loss("m", "wm", "cm", self.target, 1.0).alias("target"), loss("n", "wn", "cn", self.background * scale, scale).alias("background"))
+
+
+def _pairs_of(marked: DataFrame) -> DataFrame:
+    return marked.mapInArrow(_pair_counts, "pair long, word long, before long, n long, m long")
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("pair").agg(F.min("word").alias("word"), F.min("before").alias("before"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def train(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Counts over all documents; ``target_ids`` has the ids of the target ones in its first column."""
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("_target")).where(F.col("_target").isNotNull()).distinct()
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     marked = source.join(small_side(ids, TARGET_ROWS), F.col("_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("marked"))
-    counts = marked.mapInArrow(_counter(word_bits, pair_bits), "slot long, background long, target long")
-    rows = counts.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    return Model(*(np.asarray(rows.column(c)) for c in ("slot", "background", "target")), word_bits, pair_bits)
-
-
-def _scorer(model: Model):
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                data, off, _ = text_bytes(batch.column(1))
-                words = Words(data, off, ALNUM)
-                n = words.counts(batch.num_rows)
-                made = []
-                for loss in model.losses(*_slots(words, model.word_bits, model.pair_bits)):
-                    mean = np.bincount(words.row, weights=loss, minlength=batch.num_rows) / np.maximum(n, 1)
-                    made.append(pa.array(np.round(mean, 6), mask=n == 0))
-                gap = np.round(np.asarray(made[0].fill_null(0.0)) - np.asarray(made[1].fill_null(0.0)), 6)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *made, pa.array(gap, mask=n == 0)], names=["_row", "n_words", "target_loss", "background_loss", "score"])
-
-    return run
+    words = marked.mapInArrow(_word_counts, "word long, n long, m long, cn long, cm long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "m", "cn", "cm")))
+    words = written(words, "words")
+    total = words.agg(F.sum("n"), F.sum("m"), F.count_if(F.col("n") > 0)).first()
+    return Model(docs.select(F.col(text).cast("string").alias("text")), _pairs_of(marked), words, total[0] or 0, total[1] or 0, max(1, total[2]))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """The documents with ``n_words``, ``target_loss``, ``background_loss`` and ``score`` (target less background, by word)."""
     names = ("n_words", "target_loss", "background_loss", "score")
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([packed.schema["_row"], T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])])
-    out = packed.mapInArrow(_scorer(model), schema)
-    return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in names), *names)
+    source = docs.select(F.col(text).cast("string").alias("text"))
+    pairs = model.pairs
+    if not source.sameSemantics(model.texts):  # pairs that the model has not seen need their losses too
+        unseen = _pairs_of(source.select("text", F.lit(False).alias("marked")))
+        pairs = pairs.union(unseen.select("pair", "word", "before", F.lit(0).cast("long"), F.lit(0).cast("long")))
+    losses = model.losses(_summed(pairs))
+    # equal texts are summed together: their mean is that of each
+    mine = source.select(F.xxhash64("text").alias("key"), "text").mapInArrow(_text_pairs, "key long, pair long, times long")
+    sums = mine.join(losses.hint("merge"), "pair").groupBy("key").agg(*((F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c) for c in ("target", "background")))
+    sums = small_side(written(sums, "losses"), SMALL_TEXTS)
+    plain = F.col(text).cast("string")
+    words = F.coalesce(F.regexp_count(plain, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    base = docs.select(*(c for c in docs.columns if c not in names), words.alias("n_words"), F.xxhash64(plain).alias("_key"))
+    out = base.join(sums.select(F.col("key").alias("_text_key"), F.round("target", 6).alias("target_loss"), F.round("background", 6).alias("background_loss")), (F.col("_key") == F.col("_text_key")) & (F.col("n_words") > 0), "left")
+    return out.withColumn("score", F.round(F.col("target_loss") - F.col("background_loss"), 6)).select(*(c for c in docs.columns if c not in names), *names)

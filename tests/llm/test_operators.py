@@ -279,6 +279,55 @@ def test_lm_losses_are_those_of_plain_counts(spark):
         assert got[i] == pytest.approx(np.mean(loss), abs=1e-5)
 
 
+def plain_losses(rows, marked):
+    """Both losses of each text by counts over the words themselves."""
+    cut = {i: ALNUM_WORDS.findall((t or "").translate(LOW)) for i, t in rows}
+    words, pairs, before = ([Counter(), Counter()] for _ in range(3))
+    for i, w in cut.items():
+        for k in (0, 1) if i in marked else (0,):
+            words[k].update(w)
+            pairs[k].update(zip(["^", *w], w))
+            before[k].update(["^", *w][: len(w)])
+    total, vocabulary = [sum(c.values()) for c in words], len(words[0])
+    scale = [total[1] / total[0], 1.0]
+
+    def loss(k, b, w):
+        single = (words[k][w] * scale[k] + lm.UNIFORM) / (total[k] * scale[k] + lm.UNIFORM * vocabulary)
+        return -np.log((pairs[k][b, w] * scale[k] + lm.FALLBACK * single) / (before[k][b] * scale[k] + lm.FALLBACK))
+
+    return {i: tuple(np.mean([loss(k, b, x) for b, x in zip(["^", *w], w)]) for k in (1, 0)) for i, w in cut.items() if w}
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_lm_counts_more_ngrams_than_any_fixed_table(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "SMALL_WORDS", small)
+    monkeypatch.setattr(lm, "SMALL_TEXTS", small)
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"É{rng.randrange(400_000)}" for _ in range(6000))) for i in range(150)]
+    rows.append((150, rows[0][1]))
+    df = spark.createDataFrame(rows, EMPTY).repartition(4).cache()
+    marked = set(range(0, 150, 3))
+    out = lm.score(df, lm.train(df, spark.createDataFrame([(i,) for i in marked], "id long"))).collect()
+    want = plain_losses(rows, marked)
+    assert len(out) == 151 and all(r["n_words"] == 6000 for r in out)
+    for r in out:
+        assert (r["target_loss"], r["background_loss"]) == pytest.approx(want[r["doc_id"]], abs=2e-6)
+        assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-9)
+
+
+def test_lm_scores_texts_that_it_has_not_counted(spark):
+    rows = [(1, "a b a b c"), (2, "a b c"), (3, "c c a")]
+    df = spark.createDataFrame(rows, EMPTY)
+    model = lm.train(df, spark.createDataFrame([(2,)], "id long"))
+    assert df.select(F.col("text").cast("string").alias("text")).sameSemantics(model.texts)
+    new = {r["doc_id"]: r for r in lm.score(spark.createDataFrame([(1, "a zz"), (2, "a b c"), (3, None)], EMPTY), model).collect()}
+    uniform = lm.UNIFORM / (3 + lm.UNIFORM * 3)
+    first = (1 + lm.FALLBACK * (1 + lm.UNIFORM) / (3 + lm.UNIFORM * 3)) / (1 + lm.FALLBACK)
+    assert new[1]["target_loss"] == pytest.approx(-np.log([first, lm.FALLBACK * uniform / (1 + lm.FALLBACK)]).mean(), abs=2e-6)
+    assert new[2]["target_loss"] == {r["doc_id"]: r["target_loss"] for r in lm.score(df, model).collect()}[2]
+    assert new[3]["n_words"] == 0 and new[3]["score"] is None
+
+
 # urls
 
 
