@@ -121,7 +121,7 @@ FROM documents d LEFT JOIN stat s ON d.doc_id = s.doc_id AND d.text = s.text LEF
 
 @register("op2_line_dedup", _LINES_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)  # as its SQL has it
     return out.select("doc_id", "removed_lines", "removed_runs", F.sha2("text", 256).alias("text_sha256"))
 
 

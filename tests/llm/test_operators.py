@@ -117,6 +117,35 @@ def test_line_dedup(docs, rows, least):
         assert r["text"] == (want[r["doc_id"], r["old"]] if r["doc_id"] is not None and r["old"] is not None else r["old"])
 
 
+def brute_whole(rows, least):
+    """Every run of lines from everywhere, as the rule says."""
+    kept = sorted({(i, t) for i, t in rows if i is not None and t is not None}, key=lambda r: (r[0], r[1]))
+    seen, gone = {}, defaultdict(set)
+    for n, (i, t) in enumerate(kept):
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+        for p in range(len(lines)):
+            for q in range(p, len(lines)):
+                run = tuple(x for _, x in lines[p : q + 1])
+                if sum(map(len, run)) >= least and seen.setdefault(run, (n, p)) != (n, p):
+                    gone[i, t] |= {k for k, _ in lines[p : q + 1]}
+    return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]) for i, t in kept}
+
+
+@pytest.mark.parametrize("least", [1, 40, 300])
+def test_line_dedup_of_whole_runs(spark, rows, least):
+    rng = random.Random(6)
+    a, b = "a" * 100, "b" * 20
+    texts = [f"{a}\n{b}\nleft", f"{a}\n\n{b}\nright", f"{b}\nelse"] + ["\n".join("x" * rng.choice([1, 2, 9, 17, 30]) for _ in range(rng.randint(1, 14))) for _ in range(40)]
+    data = [r for r in rows if r[0] is not None and not (r[0] == 6 and r[1].startswith("another"))] + [(100 + k, t) for k, t in enumerate(texts)]
+    out = linededup.dedup_lines(spark.createDataFrame(data, EMPTY).withColumn("old", F.col("text")), min_chars=least, whole=True).collect()
+    want = brute_whole(data, least)
+    assert len(out) == len(data)
+    for r in out:
+        assert r["text"] == (want[r["doc_id"], r["old"]] if r["old"] is not None else None)
+    if least == 40:
+        assert {r["doc_id"]: r["text"] for r in out}[101] == "\nright"
+
+
 def test_line_dedup_of_nothing(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], EMPTY)).count() == 0
 
