@@ -20,7 +20,8 @@ too, and each line of a longer repeat lies in the shortest run from the repeat's
 first line on or in the shortest run up to the line itself, both in the repeat.
 
 Defined cases: a null text stays null and an empty one empty; rows with the same
-id and text are one document and get the same result; blank lines are never
+id and text are one document and get the same result; rows with a null id have no
+place in the order: they stay as they are and are no copy's original; blank lines are never
 deleted; "earlier" is by id, then text hash, then line; an empty table gives no
 rows; other columns pass through, and where one is named like an output column
 the output wins.

@@ -27,7 +27,10 @@ table in the shared folder.
 Defined cases: a text with fewer words than a shingle is one shingle of all its
 words; one without words (or null) has an empty set, links with nothing and is
 its own component; rows that share an id are each judged by their own text and
-the component has the smallest id; an empty table gives no rows; other columns
+the component has the smallest id; rows with a null id are counted and get the
+component of an equal set that has an id (``kept`` is null), but a set held by such
+rows alone links with nothing, and ``keep_one`` lets every row with a null id stay;
+an empty table gives no rows; other columns
 are not carried by ``near_duplicates`` and pass through ``keep_one``.
 """
 

@@ -449,6 +449,16 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4] and out.columns == df.columns
 
 
+def test_rows_without_an_id(spark):
+    a, b, line = "a b c d e f", "x y z u v w", "l" * 50
+    df = spark.createDataFrame([(1, a), (None, a), (None, b), (2, b + " t")], EMPTY)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(1, 2, 1, True), (None, 2, 1, None), (None, 2, None, None), (2, 3, 2, True)}
+    assert neardup.keep_one(df).count() == 4
+    df = spark.createDataFrame([(None, line), (5, line), (None, line), (6, line)], EMPTY)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup_lines(df).collect()) == [(0, line), (0, line), (5, line), (6, "")]
+
+
 # substrings
 
 
