@@ -6,8 +6,12 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of a side that may be sent to all tasks.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +53,20 @@ def forget(*tables: DataFrame) -> None:
                 p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """The frame with a broadcast hint if a count proves it small enough; else as it is, for a sort-merge join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
+def _width(x: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(x), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(x.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(x, F.lit(0).cast("long"), lambda n, y: n + _width(y, kind.elementType))
+        return F.coalesce(each, F.lit(0)) + 16
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """The frame with a broadcast hint if a sum over its rows proves it small enough; else as it is, for a sort-merge join."""
+    row = sum((_width(df[f.name], f.dataType) for f in df.schema.fields), F.lit(16))
+    size = df.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if max_bytes is None else max_bytes) else df.hint("merge")

@@ -118,7 +118,7 @@ def known_licences(spark) -> DataFrame:
     return spark.createDataFrame(KNOWN, "licence_id string, licence_text string")
 
 
-def scan(docs: DataFrame, licences: DataFrame | None = None, *, text: str = "text", licence_id: str = "licence_id", licence_text: str = "licence_text", max_broadcast: int = 100_000) -> DataFrame:
+def scan(docs: DataFrame, licences: DataFrame | None = None, *, text: str = "text", licence_id: str = "licence_id", licence_text: str = "licence_text", max_broadcast: int | None = None) -> DataFrame:
     """The documents with ``digest`` and ``licence_id`` (null if the whole text is no known licence)."""
     if licences is None:
         licences = known_licences(docs.sparkSession)

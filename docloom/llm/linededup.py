@@ -36,8 +36,6 @@ from docloom.llm.common import forget, small_side, written
 
 #: Characters of a run that is worth deleting.
 MIN_CHARS = 40
-#: Changed documents few enough to send their spans to all tasks.
-SMALL_ROWS = 300_000
 
 
 def _ranked(runs: DataFrame, by: list[str], what: str) -> DataFrame:
@@ -132,7 +130,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """The documents with later copies of repeated runs deleted from the texts, and ``removed_lines``, ``removed_runs``."""
     spans = repeated_spans(docs, doc_id=doc_id, text=text, min_chars=min_chars, whole=whole)
-    spans = small_side(spans, SMALL_ROWS)
+    spans = small_side(spans)
     out = ("removed_lines", "removed_runs")
     base = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_d"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
     joined = base.join(spans, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")

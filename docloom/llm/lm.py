@@ -32,10 +32,6 @@ from docloom.llm.textops import ALNUM, Words, mix, slices, text_bytes
 
 #: Weight of the fallback, in words, and of the uniform share, in words of the vocabulary.
 FALLBACK, UNIFORM = 50.0, 0.1
-#: Rows of a target table small enough to send to all tasks (16 MB of ids).
-TARGET_ROWS = 2_000_000
-#: Words, and texts, few enough to send their counts or sums to all tasks.
-SMALL_WORDS, SMALL_TEXTS = 1_000_000, 300_000
 #: What stands before a document's first word.
 START = np.uint64(0x5EED << 40)
 
@@ -117,8 +113,8 @@ class Model:
 
     def losses(self, pairs: DataFrame) -> DataFrame:
         """pair, and its loss in nats under the target and the background."""
-        single = small_side(self.words.where("n > 0").select("word", F.col("n").alias("wn"), F.col("m").alias("wm")), SMALL_WORDS)
-        context = small_side(self.words.where("cn > 0").select(F.col("word").alias("before"), "cn", "cm"), SMALL_WORDS)
+        single = small_side(self.words.where("n > 0").select("word", F.col("n").alias("wn"), F.col("m").alias("wm")))
+        context = small_side(self.words.where("cn > 0").select(F.col("word").alias("before"), "cn", "cm"))
         scale = self.target / self.background if self.target and self.background else 1.0
 
         def loss(pair: str, word: str, before: str, total: float, scale: float):
@@ -142,7 +138,7 @@ def train(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", tex
     """Counts over all documents; ``target_ids`` has the ids of the target ones in its first column."""
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("_target")).where(F.col("_target").isNotNull()).distinct()
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-    marked = source.join(small_side(ids, TARGET_ROWS), F.col("_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("marked"))
+    marked = source.join(small_side(ids), F.col("_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("marked"))
     words = marked.mapInArrow(_word_counts, "word long, n long, m long, cn long, cm long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "m", "cn", "cm")))
     words = written(words, "words")
     total = words.agg(F.sum("n"), F.sum("m"), F.count_if(F.col("n") > 0)).first()
@@ -161,7 +157,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     # equal texts are summed together: their mean is that of each
     mine = source.select(F.xxhash64("text").alias("key"), "text").mapInArrow(_text_pairs, "key long, pair long, times long")
     sums = mine.join(losses.hint("merge"), "pair").groupBy("key").agg(*((F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c) for c in ("target", "background")))
-    sums = small_side(written(sums, "losses"), SMALL_TEXTS)
+    sums = small_side(written(sums, "losses"))
     plain = F.col(text).cast("string")
     words = F.coalesce(F.regexp_count(plain, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     base = docs.select(*(c for c in docs.columns if c not in names), words.alias("n_words"), F.xxhash64(plain).alias("_key"))

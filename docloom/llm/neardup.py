@@ -2,24 +2,27 @@
 
 1. A document is its set of distinct word shingles, hashed once. Documents with
    equal sets are one node from here on, whatever their number.
-2. A node's sketch is the k smallest hashes of its set. Sets up to k are their
-   own sketches, so it is known how many values two similar ones share at least:
-   the smaller has to share more of its own than the larger. Of larger sets
-   similar ones share far more than ``LEAST`` of their sketch values (for k = 64
-   and 0.75 all but one pair in ten million at the very threshold does). So it is
-   enough to index a sketch's rarest values, over all nodes, up to the number
-   that it may fail to share and one more: common passages stay out of the lists.
-3. Lists are worked off in rounds. A short list gives its pairs; a long one
-   gives pairs of each member with a few hubs, four times as many each round: those
-   first that have the fewest values of their own, as an original has whose
-   altered copies are like it but not like each other.
-   Only pairs across components known so far count, and only of sets whose sizes
-   and places allow a link; a list inside one component is done, and hubs leave
-   their lists: no pair that could matter is left out, and a group of near copies
-   of any size costs a few rows for each member.
-4. Pairs pass a filter on the estimate from the union's sketch; the full sets
-   decide.
-5. Links are contracted to components after each round.
+2. A node's sketch is the k smallest hashes of its set. How many of a sketch's
+   values at least are in another sketch too, if the node has any partner, is
+   known: exactly for sets up to k, and for larger ones with a miss of one pair in
+   ten million at the very threshold. Nodes below that have no partner. Mostly few
+   are left, and only those get their whole sets from here on: k grows to the
+   size of the set, so nothing more rests on chance.
+3. Values are ordered by how many of these nodes hold them, the rarest first. Two
+   similar sets meet in the first value that both hold, and for either it lies so
+   far in front that enough others follow. An entry of an inverted list therefore
+   carries its ``reach``: the size of the largest set that it could be linked with
+   through this list. A pair counts if either's size is in the other's reach.
+4. Lists are worked off in rounds. In the first, each list's best hub (the member
+   with the fewest values of its own, as an original has whose altered copies are
+   like it but not like each other) is paired with all others of the list. Links
+   are contracted to components. From then on a list is about the few entries
+   outside its largest component: a bounded and growing number of them is paired
+   with all of the list in each round, and leaves it. A list of one component is
+   done. No pair that could matter is left out, and a group of near copies of any
+   size costs a few rows for each member.
+5. Pairs pass a filter on the estimate from the union's sketch; the full sets
+   decide, and no pair is tried twice.
 
 Nothing is collected: the driver sees counts only. Every round's state is a
 table in the shared folder.
@@ -27,11 +30,11 @@ table in the shared folder.
 Defined cases: a text with fewer words than a shingle is one shingle of all its
 words; one without words (or null) has an empty set, links with nothing and is
 its own component; rows that share an id are each judged by their own text and
-the component has the smallest id; rows with a null id are counted and get the
-component of an equal set that has an id (``kept`` is null), but a set held by such
-rows alone links with nothing, and ``keep_one`` lets every row with a null id stay;
-an empty table gives no rows; other columns
-are not carried by ``near_duplicates`` and pass through ``keep_one``.
+the component has the smallest id; a null id is larger than any other, so a
+component has it only if all of its rows have it (``kept`` is then true for one
+text of the component); an empty table gives no rows; other columns are not
+carried by ``near_duplicates`` and pass through ``keep_one``, which keeps exactly
+one row of each component, also where rows or ids are repeated.
 """
 
 from __future__ import annotations
@@ -49,14 +52,14 @@ from docloom.llm.textops import NONSPACE, Words, mix, slices, text_bytes, window
 
 #: Words of a shingle, and percent of the union that the intersection must reach.
 SHINGLE, PERCENT = 5, 75
-#: Values of a sketch, and the share of them that two linked sets have in common at least.
-SKETCH, LEAST = 64, 0.4375
+#: Values of a sketch.
+SKETCH = 64
 #: Probability of missing a pair at the very threshold.
 RARELY = 1e-7
-#: Members of a list whose pairs are taken at once.
-SHORT = 8
-#: Ids small enough to send to all tasks.
-SMALL_IDS = 2_000_000
+#: Members of a list whose pairs are taken at once, and how many times as many hubs each round has.
+SHORT, MORE = 8, 16
+#: Pairs of one set that one task holds together.
+TOGETHER = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +102,16 @@ def _keys(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes | Non
     return [raw[16 * i : 16 * i + 16] if n[i] else None for i in range(rows)]
 
 
+def _signed(value: np.ndarray) -> pa.Array:
+    """Signed numbers in the order of the hashes, so that Spark sorts a union as it was cut."""
+    return pa.array((value ^ np.uint64(1 << 63)).view(np.int64))
+
+
 def _sketcher(size: int, k: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                data, off, _ = text_bytes(batch.column(1))
+                data, off, _ = text_bytes(batch.column(2))
                 rows = batch.num_rows
                 row, value = shingle_sets(data, off, size)
                 n = np.bincount(row, minlength=rows)
@@ -111,10 +119,8 @@ def _sketcher(size: int, k: int):
                 low = np.arange(len(row)) - np.repeat(at, n) < k
                 lists = np.zeros(rows + 1, np.int32)
                 np.cumsum(np.minimum(n, k), out=lists[1:])
-                # signed numbers in the order of the hashes, so that Spark sorts a union as it was cut
-                signed = (value[low] ^ np.uint64(1 << 63)).view(np.int64)
-                sketch = pa.ListArray.from_arrays(pa.array(lists), pa.array(signed))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_keys(row, value, n), pa.binary()), sketch], names=["doc_id", "n", "key", "sketch"])
+                sketch = pa.ListArray.from_arrays(pa.array(lists), _signed(value[low]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(_keys(row, value, n), pa.binary()), sketch], names=["doc_id", "t", "n", "key", "sketch"])
 
     return run
 
@@ -128,152 +134,170 @@ def _set_rows(size: int):
                 n = np.bincount(row, minlength=batch.num_rows)
                 at = np.zeros(batch.num_rows + 1, np.int32)
                 np.cumsum(n, out=at[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(row, value, n), pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64)))], names=["key", "full"])
-
-    return run
-
-
-def _confirm(percent: int):
-    def run(batches):
-        for batch in batches:
-            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731,B023
-            fa, fb = column("fa"), column("fb")
-            linked = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                a, b = np.asarray(fa[i].values), np.asarray(fb[i].values)
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked[i] = 100 * common >= percent * (len(both) - common)
-            at = pa.array(np.flatnonzero(linked))
-            yield pa.RecordBatch.from_arrays([column("a").take(at), column("b").take(at)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(row, value, n), pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), _signed(value))], names=["key", "n", "full"])
 
     return run
 
 
-def _sizes(a: str, b: str, percent: int):
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def _surely(k: int, share: float) -> int:
     """The most values that k draws, each common with this probability, fail to have in common once in ten million times."""
     below = 0.0
     for c in range(k + 1):
         below += comb(k, c) * share**c * (1 - share) ** (k - c)
         if below > RARELY:
-            return c
+            return max(1, c)
     return k
 
 
-def _common(a: str, b: str, percent: int, k: int):
-    """How many values the sketches of two sets of these sizes share at least, if the sets are similar enough."""
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    sets = F.ceil((lo + hi) * percent / (100 + percent))
-    # of the larger set's sketch each value is common with a probability of this share or more
-    most = 2 * percent / (100 + percent)
-    shares = np.linspace(percent / 100, most, 8)[:-1]
-    large = F.greatest(F.lit(_surely(k, float(shares[0]))), *[F.when(sets >= hi * float(x), _surely(k, float(x))) for x in shares[1:]])
-    return F.when(hi <= k, sets).when(lo <= k, F.greatest(sets - (hi - k), F.lit(1))).otherwise(large)
+def _least_shared(percent: int, k: int):
+    """How many values of a sketch are in other sketches too at least, if the set of n has a partner."""
+    n = F.col("n")
+    # what the sketch of a larger partner may have cut off is lost
+    larger = F.greatest(F.lit(k) + n - F.floor(n * 100 / percent), F.lit(1))
+    return F.when(n <= k, F.least(F.ceil(n * percent / 100), larger)).otherwise(F.lit(_surely(k, percent / 100)))
+
 
+def _within_reach(entries: DataFrame, *, other: str | None = None) -> DataFrame:
+    """Entries for whose size and reach the list holds a partner; with ``other``, one outside the largest component for those inside."""
+    bounds = [F.min("n").alias("least"), F.max("reach").alias("most"), F.count("*").alias("size")]
+    if other:
+        bounds += [F.min(F.when(F.col(other), F.col("n"))).alias("least_other"), F.max(F.when(F.col(other), F.col("reach"))).alias("most_other")]
+    found = entries.drop("size").join(entries.groupBy("v").agg(*bounds).where("size > 1"), "v")
+    found = found.where((F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("most")))
+    if other:
+        found = found.where(F.col(other) | ((F.col("reach") >= F.col("least_other")) & (F.col("n") <= F.col("most_other"))))
+    return found.drop("least", "most", "least_other", "most_other")
 
-def _front(n: str, at: str, m: str, other_at: str, percent: int, k: int):
-    """Whether both sets have the value among the rarest by which alone they would have to meet."""
-    need = _common(n, m, percent, k)
-    return (F.col(at) <= F.least(F.col(n), F.lit(k)) - need) & (F.col(other_at) <= F.least(F.col(m), F.lit(k)) - need)
+
+def _lists(sets: DataFrame, percent: int) -> DataFrame:
+    """The entries of the inverted lists: v, key, n, alone (values that no other set holds), reach."""
+    values = sets.select("key", F.explode("full").alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    mine = values.join(shared, "v").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # values of one document
+    n, alone = F.col("n"), F.col("n") - F.size("shared")
+    least = F.ceil(n * percent / 100)
+    front = mine.join(sets.select("key", "n"), "key").where(F.size("shared") >= least)
+    front = front.select("key", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, F.size("shared") - least + 1)).alias("i", "x"))
+    reach = F.floor((100 + percent) * (n - F.col("alone") - F.col("i")) / percent) - n
+    return front.select(F.col("x.v").alias("v"), "key", "n", "alone", reach.alias("reach"))
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    sketch = nodes.select("key", "n", "sketch")
-    found = pairs.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    common = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
-    whole = (F.col("na") <= k) & (F.col("nb") <= k)  # then the sketches are the sets
-    both = F.size(F.array_intersect("sa", "sb"))
-    likely = F.when(whole, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise((both >= _common("na", "nb", percent, k)) & (common >= LEAST * F.size(union)))
-    found = written(found.where(likely).select("a", "b"), "pairs")
-    ids = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "head"), "key")
-    chosen = docs.join(small_side(ids.select(F.col("head").alias("_head")).distinct(), SMALL_IDS), F.col("doc_id") == F.col("_head"), "left_semi")
-    sets = written(chosen.select("text").mapInArrow(_set_rows(shingle), "key binary, full array<long>").where("key IS NOT NULL").join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
-    full = found.join(sets.toDF("a", "fa"), "a").join(sets.toDF("b", "fb"), "b")
-    links = written(full.mapInArrow(_confirm(percent), "a binary, b binary"), "links")
-    forget(found, sets)
+    # a set with very many partners goes to several tasks
+    busy = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1")
+    busy = written(busy, "busy")
+    few = small_side(busy)
+    full = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        parts = F.coalesce("parts", F.lit(1))
+        full = full.join(few.withColumnRenamed("a", side), side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+        spread = sets.select(F.col("key").alias(side), F.col("n").alias("n" + side), F.col("full").alias("f" + side)).join(few.withColumnRenamed("a", side), side, "left")
+        spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        full = full.join(spread, [side, "part"]).drop("part")
+    union = F.slice(F.array_sort(F.array_union(F.slice("fa", 1, k), F.slice("fb", 1, k))), 1, k)
+    common = F.size(F.array_intersect(F.array_intersect(union, F.slice("fa", 1, k)), F.slice("fb", 1, k)))
+    exact = (F.col("na") <= k) & (F.col("nb") <= k)  # then the sketches are the sets
+    likely = exact | (common >= F.least(F.lit(_surely(k, percent / 100)), F.size(union)))
+    both = F.when(likely, F.size(F.array_intersect("fa", "fb")))
+    links = written(full.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "links")
+    forget(busy)
     return links
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
-    """One row a document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of its component) and ``kept``."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    base = written(source.mapInArrow(_sketcher(shingle, k), f"doc_id {kind}, n long, key binary, sketch array<long>"), "sketches")
-    # equal sets are one node
-    smallest_ids = lambda rows: rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("head"))
-    lead = base.where("key IS NOT NULL").join(smallest_ids(base).withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("head")), "inner").drop("_key")
-    nodes = written(lead.select("key", "head", "n", "sketch").dropDuplicates(["key"]), "nodes")
-    thin = written(base.select("doc_id", "n", "key"), "documents")
-    forget(base)
-    heads = smallest_ids(thin)
-    # inverted lists of the rarest retained values
-    values = nodes.select("key", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    mine = values.join(shared, "v").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # k values at most
-    mine = mine.join(nodes.select("key", "n", F.size("sketch").alias("k")), "key")
-    # values shared at least with a set that is no larger, and with one that is no smaller
-    full = F.col("n") <= k
-    large = int(np.ceil(LEAST * k))
-    with_smaller = F.when(full, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(large)).cast("int")
-    cut = F.lit(k) + F.col("n") - F.floor(F.col("n") * 100 / percent)  # what a larger set's sketch still holds
-    with_larger = F.when(full, F.least(F.ceil(F.col("n") * 2 * percent / (100 + percent)), F.greatest(cut, F.lit(1)))).otherwise(F.lit(large)).cast("int")
-    alone = F.col("k") - F.size("shared")  # values of one node alone are the rarest
-    width = lambda need: F.greatest(F.col("k") - need + 1 - alone, F.lit(0))
-    lists = mine.select("key", "n", alone.alias("alone"), width(with_larger).alias("w"), F.posexplode(F.slice("shared", 1, F.greatest(width(with_smaller), width(with_larger)))).alias("i", "x"))
-    lists = written(lists.select(F.col("x.v").alias("v"), "key", "n", "alone", (F.col("alone") + F.col("i")).alias("at"), (F.col("i") < F.col("w")).alias("front")), "lists")
-    label = None  # (node, root) of the components so far
-    hubs = 1
+def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """Entries of lists of more than one component, with their component and whether it is other than the list's largest."""
+    at = entries.join(label.toDF("key", "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    largest = at.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(F.max(F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
+    return at.join(largest, "v").withColumn("other", F.col("comp") != F.col("largest.comp")).drop("largest", "comps")
+
+
+def _components(sets: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """(node, root) of all nodes that are linked and not their component's smallest; None if nothing is."""
+    entries = written(_within_reach(_lists(sets, percent)).drop("size"), "lists")
+    label, tested, tables, hubs = None, None, [], 1
     while True:
         if label is None:
-            at = lists.withColumn("comp", F.col("key"))
+            at = _within_reach(entries).withColumn("comp", F.col("key")).withColumn("other", F.lit(True))
         else:
-            at = lists.join(label.toDF("key", "root"), "key", "left").select("v", "key", "n", "alone", "at", "front", F.coalesce("root", "key").alias("comp"))
-        active = at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.max("front").alias("some")).where("lo <> hi AND some").select("v", "size")
-        at = written(at.join(active, "v"), "lists")
-        forget(lists)
+            at = _within_reach(_labelled(entries, label), other="other")
+        at = written(at, "lists")
+        forget(entries)
         if at.limit(1).count() == 0:
             forget(at)
             break
-        short, long = at.where(F.col("size") <= SHORT), at.where(F.col("size") > SHORT)
-        one, two = short.select("v", F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax")), short.select("v", F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-        near = one.join(two, "v").where("x < y AND cx <> cy").where(_sizes("nx", "ny", percent) & _front("nx", "ax", "ny", "ay", percent, k)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         order = F.xxhash64("key")
-        hub = long.where("front").groupBy("v", F.pmod(order, F.lit(hubs)).alias("slot")).agg(F.min(F.struct("alone", order.alias("h"), F.col("key"), F.col("comp"), F.col("n"), F.col("at"))).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
-        hub = written(hub, "hubs")
-        far = long.join(hub, "v").where("comp <> hub_comp").where(_sizes("n", "hub_n", percent) & _front("n", "at", "hub_n", "hub_at", percent, k)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-        pairs = written(near.union(far).distinct(), "candidates")
-        links = _links(pairs, nodes, source, shingle, percent, k)
-        if label is None:
-            edges = links
-        else:
+        short = F.col("size") <= SHORT
+        slot = F.when(short, order).otherwise(F.pmod(order, F.lit(hubs)))
+        hub = at.where("other").groupBy("v", slot.alias("slot")).agg(F.min(F.struct("alone", order.alias("h"), "key", "comp", "n", "reach")).alias("hub"))
+        hub = written(hub.select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"), F.col("hub.reach").alias("hub_reach")), "hubs")
+        near = at.join(hub, "v").where("comp <> hub_comp AND n <= hub_reach AND hub_n <= reach")
+        pairs = near.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "candidates")
+        tables.append(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = _links(pairs, sets, percent, k)
+        edges = links
+        if label is not None:
             root = label.toDF("_n", "_r")
             edges = links.join(root, F.col("a") == F.col("_n"), "left").select(F.coalesce("_r", "a").alias("a"), "b")
             edges = edges.join(root, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_r", "b").alias("b")).union(root.select("_n", "_r"))
         new = components(edges)
-        lists = written(long.join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti").select("v", "key", "n", "alone", "at", "front"), "lists")
-        forget(at, hub, pairs, links)
-        label, hubs = new, hubs * 4
-    if label is None:
-        whole = heads.withColumn("comp", F.col("key"))
-    else:
-        whole = heads.join(label.toDF("key", "root"), "key", "left").select("key", "head", F.coalesce("root", "key").alias("comp"))
+        rest = at.where(~short).join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti")
+        entries = written(rest.select("v", "key", "n", "alone", "reach"), "lists")
+        forget(at, hub, links, *([label] if label is not None else []))
+        label, hubs = new, hubs * MORE
+    forget(*tables)
+    return label
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, k: int) -> DataFrame:
+    """doc_id, t (hash of the text), n, component (its id), first (whether id and text are the component's first)."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    base = written(source.mapInArrow(_sketcher(shingle, k), f"doc_id {kind}, t long, n long, key binary, sketch array<long>"), "sketches")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")  # a null id is the largest
+    # equal sets are one node
+    nodes = written(base.where("key IS NOT NULL").groupBy("key").agg(F.min(name).alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    thin = written(base.select("doc_id", "t", "n", "key"), "documents")
+    forget(base)
+    values = nodes.select("key", F.explode("sketch").alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
+    mine = values.join(shared, "v").groupBy("key").agg(F.count("*").alias("shared"))
+    some = written(mine.join(nodes.select("key", "head", "n"), "key").where(F.col("shared") >= _least_shared(percent, k)).select("key", "head"), "partners")
+    chosen = source.withColumn("head", name).join(small_side(some.select("head")), "head", "left_semi").select("text")
+    sets = chosen.mapInArrow(_set_rows(shingle), "key binary, n long, full array<long>").where("key IS NOT NULL")
+    sets = written(sets.dropDuplicates(["key"]), "sets")
+    label = _components(sets, percent, k)
+    heads = nodes.select("key", "head")
+    whole = heads.withColumn("comp", F.col("key")) if label is None else heads.join(label.toDF("key", "root"), "key", "left").select("key", "head", F.coalesce("root", "key").alias("comp"))
     whole = written(whole, "heads")
+    forget(nodes, some, sets, *([label] if label is not None else []))
     smallest = whole.groupBy("comp").agg(F.min("head").alias("component"))
-    named = whole.join(smallest, "comp").select("key", "component")
-    out = thin.join(named, "key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = thin.join(whole.join(smallest, "comp").select("key", "component"), "key", "left")
+    first = F.coalesce(name == F.col("component"), F.lit(True))
+    return out.select("doc_id", "t", "n", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component.doc_id")).alias("component"), first.alias("first"))
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents of the smallest id of each component, with the columns they came with; ids are taken to be unique."""
-    found = written(near_duplicates(docs, doc_id=doc_id, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small_side(found, SMALL_IDS), F.col(doc_id) == F.col("_gone"), "left_anti")
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
+    """One row a document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of its component) and ``kept``."""
+    out = _judged(docs, doc_id, text, shingle, percent, k)
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.col("first") & F.col("doc_id").isNull())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
+    """One document of each component, that of the smallest id, with the columns it came with; texts without words all stay."""
+    judged = written(_judged(docs, doc_id, text, shingle, percent, k), "judged")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_t"))
+    gone = written(judged.where("NOT first").select(F.col("doc_id").alias("_gone"), F.col("t").alias("_gone_t")).distinct(), "gone")
+    left = rows.join(small_side(gone), same("_id", "_gone") & same("_t", "_gone_t"), "left_anti")
+    again = written(judged.where("first AND n > 0").groupBy(F.col("doc_id").alias("_again"), F.col("t").alias("_again_t")).count().where("count > 1").drop("count"), "again")
+    forget(judged)
+    if again.limit(1).count():  # one of each repeated row
+        is_again = same("_id", "_again") & same("_t", "_again_t")
+        left = left.join(small_side(again), is_again, "left_anti").union(left.join(small_side(again), is_again, "left_semi").dropDuplicates(["_id", "_t"]))
+    return left.select("_row.*")

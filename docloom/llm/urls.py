@@ -187,7 +187,7 @@ def train(rows: DataFrame, names: list[str], *, trees: int = 8, depth: int = 3,
     return model
 
 
-def judge(pages: DataFrame, rules=RULES, *, url: str = "url", max_broadcast: int = 100_000, **training) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, *, url: str = "url", max_broadcast: int | None = None, **training) -> DataFrame:
     """The pages with ``host``, ``path``, ``rule`` (null if none fits), ``verdict`` and ``block_score`` (log-odds by the trees)."""
     out_names = ("host", "path", "rule", "verdict", "block_score")
     host, path = host_and_path(F.col(url))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, kdtree, licences, linededup, lm, neardup, packing, quality, substrings, urls
+from docloom.llm import common, decontam, kdtree, licences, linededup, lm, neardup, packing, quality, substrings, urls
 from docloom.llm.queries import tokenizer_path
 from docloom.llm.textops import ALNUM, NONSPACE, Words, text_bytes
 
@@ -327,10 +327,9 @@ def plain_losses(rows, marked):
     return {i: tuple(np.mean([loss(k, b, x) for b, x in zip(["^", *w], w)]) for k in (1, 0)) for i, w in cut.items() if w}
 
 
-@pytest.mark.parametrize("small", [1_000_000, 0])
+@pytest.mark.parametrize("small", [common.BROADCAST_BYTES, 0])
 def test_lm_counts_more_ngrams_than_any_fixed_table(spark, small, monkeypatch):
-    monkeypatch.setattr(lm, "SMALL_WORDS", small)
-    monkeypatch.setattr(lm, "SMALL_TEXTS", small)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", small)
     rng = random.Random(12)
     rows = [(i, " ".join(f"É{rng.randrange(400_000)}" for _ in range(6000))) for i in range(150)]
     rows.append((150, rows[0][1]))
