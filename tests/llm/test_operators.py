@@ -488,6 +488,45 @@ def test_substring_dedup(spark, rows, length, chunk, monkeypatch):
     assert substrings.dedup_substrings(df.limit(0)).count() == 0
 
 
+def morse(n, swap):
+    """Blocks in the order of the Thue-Morse sequence, on which polynomial hashes modulo a power of two collide."""
+    return "".join("Xp9d" if (bin(i).count("1") + swap) % 2 else "MaRs" for i in range(n))
+
+
+def test_substring_dedup_tells_texts_apart_that_simple_hashes_do_not(spark):
+    rng = random.Random(8)
+    pad = lambda: "".join(rng.choice("abcdefghij") for _ in range(205))
+    a, b = pad(), pad()
+    rows = [(1, a + morse(16, 0) + b), (2, a + morse(16, 1) + b), (3, morse(2048, 0)), (4, morse(2048, 1)), (5, "ab" * 3000), (6, "x" * 401)]
+    out = substrings.dedup_substrings(spark.createDataFrame(rows, EMPTY))
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect())
+    assert got == brute_substrings(rows, 400)
+    assert {i: n for i, _, n, *_ in got}[1] == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_interleave_refinement(seed):
+    rng = random.Random(seed)
+    length, contexts, groups = 12, [], []
+    for g in range(5):
+        base = "".join(rng.choice("ab") for _ in range(60))
+        for _ in range(rng.randint(1, 9)):
+            text = "".join(c if rng.random() < 0.95 else rng.choice("abc") for c in base)
+            b = rng.randint(0, 10)
+            e = rng.randint(max(1, length - b), length)
+            contexts.append((text[20 - b : 20 + e].encode(), b))
+            groups.append(g)
+    data = np.frombuffer(b"".join(t for t, _ in contexts), np.uint8)
+    size = np.array([len(t) for t, _ in contexts])
+    before = np.array([b for _, b in contexts])
+    which, far = substrings.repeats(data, np.cumsum(size) - size + before, before, size - before, np.array(groups), length)
+    seen = defaultdict(list)
+    for i, (t, b) in enumerate(contexts):
+        for s in range(min(b, len(t) - length) + 1):
+            seen[groups[i], b - s, t[s : s + length]].append((i, b - s))
+    assert sorted(zip(which.tolist(), far.tolist(), strict=True)) == sorted(x for v in seen.values() if len(v) > 1 for x in v)
+
+
 # the pipeline
 
 
