@@ -1,16 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 A document is its token ids followed by an end id. Only a longer one than a
-sequence is cut. Each task tokenises its rows and packs their pieces online: a
-fixed number of sequences is open; a bitset holds which free spaces occur among
-them, so the best fit is the lowest set bit at or above the piece's length; when
-too many are open, the fullest closes. What is still open when a task ends is
-packed again in a second, much smaller round over all tasks, longest first.
+sequence is cut. The pieces (ids aside, a few numbers each) are dealt to tasks of
+very many, and each task packs its own online: a fixed number of sequences is
+open; a bitset holds which free spaces occur among them, so the best fit is the
+lowest set bit at or above the piece's length; when too many are open, the
+fullest closes. What is open when a task ends closes as it is, ``most_open``
+sequences at most out of hundreds of thousands.
 
 The tokeniser lower-cases, drops white space and splits texts into runs of
 letters, single digits and runs of other signs, so the ids of such a run do not
 depend on what stands around it. Each task keeps a bounded table of runs and
-their ids; only runs outside it go to the tokeniser.
+their ids; a run found by its hash is compared byte for byte, and only runs
+outside the table go to the tokeniser. Any other tokeniser file gets whole texts.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
 packed each; an empty table gives no rows; other columns are not carried.
@@ -18,6 +20,7 @@ packed each; an empty table gives no rows; other columns are not carried.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,11 +38,26 @@ from docloom.llm.textops import LOWER, NONSPACE, Words, ranges, slices, text_byt
 #: Tokens of a sequence at most.
 LENGTH = 2048
 #: Sequences open at a time.
-OPEN = 64
+OPEN = 1_024
+#: Pieces that one task packs, about.
+PER_TASK = 2_000_000
 #: Runs of characters that a task keeps the ids of.
-KEPT_RUNS = 600_000
+KEPT_RUNS = 200_000
 #: Bytes of text tokenised at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
+
+#: How a tokeniser file normalises and splits texts if runs can be taken one by one.
+BY_RUNS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 
 #: Kinds of bytes: 0 white space, 1 ASCII letter, 2 other ASCII sign, 3 apostrophe, 4 beyond ASCII.
 _KIND = np.full(256, 2, np.uint8)
@@ -64,23 +82,17 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.by_runs = all(said.get(k) == v for k, v in BY_RUNS.items()) and said["model"]["type"] == "BPE"
         self.end_id, self.kept = end_id, kept
+        self._clear()
+
+    def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # ascending
-        self.at = self.length = self.uses = np.zeros(0, np.int64)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _forget(self) -> None:
-        """Keep the runs seen in two slices or more; if that is too much still, none."""
-        keep = np.flatnonzero(self.uses > 1)
-        if len(keep) > self.kept // 2:
-            keep = keep[:0]
-        ids = self.ids[ranges(self.at[keep], self.length[keep])]
-        self.keys, self.length = self.keys[keep], self.length[keep]
-        self.at = np.cumsum(self.length) - self.length
-        self.uses = np.zeros(len(keep), np.int64)
-        self.used = len(ids)
-        self.ids = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
+        # of each key: place and length of its ids, and of its bytes
+        self.at = self.length = self.byte_at = self.bytes = np.zeros(0, np.int64)
+        self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         out: list = [None] * len(texts)
@@ -94,50 +106,66 @@ class Tokens:
             out[i] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = self._encode(texts)
+    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        ids = self._encode([x.decode("utf-8", "replace") for x in texts])
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(len(self.ids) + len(flat), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(length) - length
-        self.used += len(flat)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
         where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.at, self.length = np.insert(self.at, where, at), np.insert(self.length, where, length)
-        self.uses = np.insert(self.uses, where, 0)
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        put = lambda old, new: np.insert(old, where, new)
+        self.at, self.length = put(self.at, len(self.ids) + np.cumsum(length) - length), put(self.length, length)
+        self.byte_at, self.bytes = put(self.byte_at, len(self.raw) + np.cumsum(size) - size), put(self.bytes, size)
+        self.keys = put(self.keys, keys)
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(texts), np.uint8)])
+
+    def _plainly(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts as the tokeniser gives them."""
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        each = [e.ids + [self.end_id] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, each)])
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(ends[-1])), ends
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids among them, and the offsets of each text in them."""
-        rows = len(offsets) - 1
-        kind = _KIND[data]
         low = LOWER[data]
-        whole = any(x in low.tobytes() for x in self.special)  # such strings are tokens of their own: leave runs whole
-        breaks = None
-        if not whole and len(data):
-            breaks = np.zeros(len(data), bool)
-            breaks[1:] = kind[1:] * kind[:-1] == 2  # between a letter and another sign
+        text = low.tobytes()
+        # special strings are tokens of their own, whatever stands around them
+        if not self.by_runs or any(x in text for x in self.special):
+            return self._plainly(data, offsets)
+        if split and len(offsets) == 2 and len(data) > 2 * SLICE:  # a very long text, in parts that end where a run does
+            cuts, space = [0], ~NONSPACE[data]
+            while len(data) - cuts[-1] > 2 * SLICE:
+                near = np.flatnonzero(space[cuts[-1] + SLICE : cuts[-1] + 2 * SLICE])
+                if not len(near):  # one run without end
+                    break
+                cuts.append(cuts[-1] + SLICE + int(near[0]))
+            parts = [self.encode(data[a:b], np.array([0, b - a]), False)[0][:-1] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+            ids = np.concatenate([*parts, np.array([self.end_id], np.uint32)])
+            return ids, np.array([0, len(ids)])
+        kind = _KIND[data]
+        breaks = np.zeros(len(data), bool)
+        breaks[1:] = kind[1:] * kind[:-1] == 2  # between a letter and another sign
         runs = Words(data, offsets, NONSPACE, breaks)
-        runs.data = data if whole else low
-        h = runs.hashes()
-        keys, first, which = np.unique(~h if whole else h, return_index=True, return_inverse=True)
+        keys, first, which = np.unique(runs.hashes(), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > self.kept:
-            self._forget()
+            self._clear()
         where = np.searchsorted(self.keys, keys)
         found = np.zeros(len(keys), bool)
         inside = where < len(self.keys)
         found[inside] = self.keys[where[inside]] == keys[inside]
         new = np.flatnonzero(~found)
         if len(new):
-            raw, a, b = runs.data.tobytes(), runs.start[first[new]].tolist(), runs.end[first[new]].tolist()
-            self._learn(keys[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a, b, strict=True)])
+            self._learn(keys[new], [text[i:j] for i, j in zip(runs.start[first[new]].tolist(), runs.end[first[new]].tolist(), strict=True)])
             where = np.searchsorted(self.keys, keys)
-        self.uses[where] += 1
-        which = which.reshape(-1)
-        length, at = self.length[where][which], self.at[where][which]
-        total = np.zeros(len(which) + 1, np.int64)
+        mine = where[which.reshape(-1)]
+        size = runs.end - runs.start
+        same = (self.bytes[mine] == size).all() and np.array_equal(self.raw[ranges(self.byte_at[mine], size)], low[ranges(runs.start, size)])
+        if not same:  # two runs of one hash
+            return self._plainly(data, offsets)
+        length, at = self.length[mine], self.at[mine]
+        total = np.zeros(len(mine) + 1, np.int64)
         np.cumsum(length, out=total[1:])
+        rows = len(offsets) - 1
         ends = total[np.cumsum(runs.counts(rows))]  # of each text, in ids without end ids
         ids = np.insert(self.ids[ranges(at, length)], ends, self.end_id)
         return ids, np.concatenate([[0], ends + np.arange(1, rows + 1)])
@@ -183,90 +211,64 @@ class BestFit:
         return [s for free in sorted(self.by_free) for s in self.by_free[free]]
 
 
-_NAMES = ("piece", "start", "length", "ids_crc32", "sequence", "offset")
-
-
-def _first_round(path: str, end_id: int, length: int, most_open: int, text: str, id_index: int, keep_ids: bool):
+def _pieces(path: str, end_id: int, length: int, keep_ids: bool):
+    def cut(batches):
+        tokens = Tokens(path, end_id)
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                data, off, _ = text_bytes(batch.column(1))
+                ids, at = tokens.encode(data, off)
+                n = -(-np.diff(at) // length)  # pieces of each text, one at least
+                row = np.repeat(np.arange(batch.num_rows), n)
+                piece = ranges(np.zeros(len(n), np.int64), n)
+                start = piece * length
+                size = np.minimum(np.diff(at)[row] - start, length)
+                begin = (at[:-1][row] + start).tolist()
+                raw = ids.astype("<u4")
+                crc = [zlib.crc32(raw[i : i + k].tobytes()) for i, k in zip(begin, size.tolist(), strict=True)]
+                arrays = [batch.column(0).take(pa.array(row)), pa.array(piece), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
+                if keep_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
+
+    return cut
+
+
+def _packer(length: int, most_open: int):
     def pack(batches):
-        tokens, fit, number = Tokens(path, end_id), BestFit(length, most_open), 0
-        kind = None
+        fit, number = BestFit(length, most_open), 0
+        names, kinds = [], []
 
-        def batch_of(closed: list, final: bool) -> pa.RecordBatch:
+        def rows(closed: list) -> pa.RecordBatch:
             nonlocal number
-            rows = []
+            made = []
             for sequence in closed:
-                for offset, size, piece in sequence:
-                    rows.append((*piece[:3], size, piece[3], None if final else number, None if final else offset, *piece[4:]))
-                number += not final
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * (7 + keep_ids)
-            arrays = [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:7])]
-            if keep_ids:
-                arrays.append(pa.array(columns[7], pa.list_(pa.int32())))
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *_NAMES, *["ids"] * keep_ids])
-
-        for whole in batches:
-            for batch in slices(whole, text, SLICE):
-                names = batch.column(id_index)
-                kind = names.type
-                data, off, _ = text_bytes(batch.column(batch.schema.get_field_index(text)))
-                ids, at = tokens.encode(data, off)
-                closed = []
-                for name, a, b in zip(names.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    for k, s in enumerate(range(a, b, length)):
-                        part = ids[s : min(b, s + length)]
-                        piece = (name, k, s - a, zlib.crc32(part.astype("<u4").tobytes()), *([part.astype(np.int32).tolist()] if keep_ids else []))
-                        closed += fit.put(len(part), piece)
-                if closed:
-                    yield batch_of(closed, False)
-        if kind is not None and fit.open:
-            yield batch_of(fit.rest(), True)
+                made += [(*piece, number, offset) for offset, _, piece in sequence]
+                number += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), [*kinds, pa.int64(), pa.int64()], strict=True)], names=[*names, "sequence", "offset"])
 
-    return pack
-
-
-def _second_round(length: int, most_open: int):
-    def pack(batches):
-        fit, number, kept, at = BestFit(length, most_open), 0, [], 0
-        sizes: list[int] = []
         for batch in batches:
-            kept.append(batch)
-            sizes += batch.column(batch.schema.get_field_index("length")).to_pylist()
-        if not kept:
-            return
-        sequence, offset = [0] * len(sizes), [0] * len(sizes)
-        closed = []
-        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            closed += fit.put(sizes[i], i)
-        for one in closed + fit.rest():
-            for o, _, i in one:
-                sequence[i], offset[i] = number, o
-            number += 1
-        for batch in kept:
-            n = batch.num_rows
-            for name, values in (("sequence", sequence), ("offset", offset)):
-                k = batch.schema.get_field_index(name)
-                batch = batch.set_column(k, batch.schema.field(k), pa.array(values[at : at + n], pa.int64()))
-            at += n
-            yield batch
+            names, kinds = batch.schema.names, batch.schema.types
+            closed = []
+            for size, piece in zip(batch.column(3).to_pylist(), zip(*(c.to_pylist() for c in batch.columns), strict=True), strict=True):
+                closed += fit.put(size, piece)
+            if closed:
+                yield rows(closed)
+        if fit.open:
+            yield rows(fit.rest())
 
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = 0, most_open: int = OPEN, per_task: int = 2_000_000, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = 0, most_open: int = OPEN, per_task: int = PER_TASK, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and place in it; with ``keep_ids`` also the ids.
 
-    ``per_task`` bounds the pieces that one task of the second round holds.
-    ``sequence_id`` is unique over all tasks and both rounds.
+    ``sequence_id`` is unique over all tasks.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, sequence long, offset long" + ", ids array<int>" * keep_ids
-    first = source.mapInArrow(_first_round(tokenizer, end_id, length, most_open, "text", 0, keep_ids), schema)
-    first = written(first.withColumn("part", F.spark_partition_id().cast("long")), "packing")
-    loose = first.where("sequence IS NULL")
-    tasks = 1 + loose.count() // per_task
-    again = loose.drop("part").repartition(tasks).mapInArrow(_second_round(length, 1 << 30), schema).withColumn("part", F.spark_partition_id().cast("long"))
-    number = lambda low: (F.shiftleft(F.col("part"), 34) + F.shiftleft(F.col("sequence"), 1) + low).alias("sequence_id")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    tail = ["offset", *["ids"] * keep_ids]
-    return first.where("sequence IS NOT NULL").select(*columns, number(0), *tail).union(again.select(*columns, number(1), *tail))
+    schema = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    pieces = written(source.mapInArrow(_pieces(tokenizer, end_id, length, keep_ids), schema), "pieces")
+    packed = pieces.repartition(1 + pieces.count() // per_task).mapInArrow(_packer(length, most_open), schema + ", sequence long, offset long")
+    number = (F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("sequence")).alias("sequence_id")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", number, "offset", *["ids"] * keep_ids)
