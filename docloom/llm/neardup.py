@@ -129,12 +129,12 @@ def _set_rows(size: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                data, off, _ = text_bytes(batch.column(0))
+                data, off, _ = text_bytes(batch.column(1))
                 row, value = shingle_sets(data, off, size)
                 n = np.bincount(row, minlength=batch.num_rows)
                 at = np.zeros(batch.num_rows + 1, np.int32)
                 np.cumsum(n, out=at[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(row, value, n), pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), _signed(value))], names=["key", "n", "full"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), _signed(value))], names=["node", "n", "full"])
 
     return run
 
@@ -170,16 +170,16 @@ def _within_reach(entries: DataFrame, *, other: str | None = None) -> DataFrame:
 
 
 def _lists(sets: DataFrame, percent: int) -> DataFrame:
-    """The entries of the inverted lists: v, key, n, alone (values that no other set holds), reach."""
-    values = sets.select("key", F.explode("full").alias("v"))
+    """The entries of the inverted lists: v, node, n, alone (values that no other set holds), reach."""
+    values = sets.select("node", F.explode("full").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    mine = values.join(shared, "v").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # values of one document
+    mine = values.join(shared, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # values of one document
     n, alone = F.col("n"), F.col("n") - F.size("shared")
     least = F.ceil(n * percent / 100)
-    front = mine.join(sets.select("key", "n"), "key").where(F.size("shared") >= least)
-    front = front.select("key", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, F.size("shared") - least + 1)).alias("i", "x"))
+    front = mine.join(sets.select("node", "n"), "node").where(F.size("shared") >= least)
+    front = front.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, F.size("shared") - least + 1)).alias("i", "x"))
     reach = F.floor((100 + percent) * (n - F.col("alone") - F.col("i")) / percent) - n
-    return front.select(F.col("x.v").alias("v"), "key", "n", "alone", reach.alias("reach"))
+    return front.select(F.col("x.v").alias("v"), "node", "n", "alone", reach.alias("reach"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame
     for side, other in (("a", "b"), ("b", "a")):
         parts = F.coalesce("parts", F.lit(1))
         full = full.join(few.withColumnRenamed("a", side), side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
-        spread = sets.select(F.col("key").alias(side), F.col("n").alias("n" + side), F.col("full").alias("f" + side)).join(few.withColumnRenamed("a", side), side, "left")
+        spread = sets.select(F.col("node").alias(side), F.col("n").alias("n" + side), F.col("full").alias("f" + side)).join(few.withColumnRenamed("a", side), side, "left")
         spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         full = full.join(spread, [side, "part"]).drop("part")
     union = F.slice(F.array_sort(F.array_union(F.slice("fa", 1, k), F.slice("fb", 1, k))), 1, k)
@@ -207,7 +207,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame
 
 def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     """Entries of lists of more than one component, with their component and whether it is other than the list's largest."""
-    at = entries.join(label.toDF("key", "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    at = entries.join(label.toDF("node", "root"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     largest = at.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(F.max(F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
     return at.join(largest, "v").withColumn("other", F.col("comp") != F.col("largest.comp")).drop("largest", "comps")
 
@@ -218,7 +218,7 @@ def _components(sets: DataFrame, percent: int, k: int) -> DataFrame | None:
     label, tested, tables, hubs = None, None, [], 1
     while True:
         if label is None:
-            at = _within_reach(entries).withColumn("comp", F.col("key")).withColumn("other", F.lit(True))
+            at = _within_reach(entries).withColumn("comp", F.col("node")).withColumn("other", F.lit(True))
         else:
             at = _within_reach(_labelled(entries, label), other="other")
         at = written(at, "lists")
@@ -226,13 +226,13 @@ def _components(sets: DataFrame, percent: int, k: int) -> DataFrame | None:
         if at.limit(1).count() == 0:
             forget(at)
             break
-        order = F.xxhash64("key")
+        order = F.xxhash64("node")
         short = F.col("size") <= SHORT
         slot = F.when(short, order).otherwise(F.pmod(order, F.lit(hubs)))
-        hub = at.where("other").groupBy("v", slot.alias("slot")).agg(F.min(F.struct("alone", order.alias("h"), "key", "comp", "n", "reach")).alias("hub"))
-        hub = written(hub.select("v", F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"), F.col("hub.reach").alias("hub_reach")), "hubs")
+        hub = at.where("other").groupBy("v", slot.alias("slot")).agg(F.min(F.struct("alone", order.alias("h"), "node", "comp", "n", "reach")).alias("hub"))
+        hub = written(hub.select("v", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"), F.col("hub.reach").alias("hub_reach")), "hubs")
         near = at.join(hub, "v").where("comp <> hub_comp AND n <= hub_reach AND hub_n <= reach")
-        pairs = near.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+        pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "candidates")
@@ -245,8 +245,8 @@ def _components(sets: DataFrame, percent: int, k: int) -> DataFrame | None:
             edges = links.join(root, F.col("a") == F.col("_n"), "left").select(F.coalesce("_r", "a").alias("a"), "b")
             edges = edges.join(root, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_r", "b").alias("b")).union(root.select("_n", "_r"))
         new = components(edges)
-        rest = at.where(~short).join(hub.select("v", F.col("hub").alias("key")), ["v", "key"], "left_anti")
-        entries = written(rest.select("v", "key", "n", "alone", "reach"), "lists")
+        rest = at.where(~short).join(hub.select("v", F.col("hub").alias("node")), ["v", "node"], "left_anti")
+        entries = written(rest.select("v", "node", "n", "alone", "reach"), "lists")
         forget(at, hub, links, *([label] if label is not None else []))
         label, hubs = new, hubs * MORE
     forget(*tables)
@@ -260,20 +260,22 @@ def _judged(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
     base = written(source.mapInArrow(_sketcher(shingle, k), f"doc_id {kind}, t long, n long, key binary, sketch array<long>"), "sketches")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")  # a null id is the largest
     # equal sets are one node
-    nodes = written(base.where("key IS NOT NULL").groupBy("key").agg(F.min(name).alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(base.where("key IS NOT NULL").groupBy("key").agg(F.min(name).alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     thin = written(base.select("doc_id", "t", "n", "key"), "documents")
     forget(base)
-    values = nodes.select("key", F.explode("sketch").alias("v"))
+    values = nodes.select("node", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
-    mine = values.join(shared, "v").groupBy("key").agg(F.count("*").alias("shared"))
-    some = written(mine.join(nodes.select("key", "head", "n"), "key").where(F.col("shared") >= _least_shared(percent, k)).select("key", "head"), "partners")
-    chosen = source.withColumn("head", name).join(small_side(some.select("head")), "head", "left_semi").select("text")
-    sets = chosen.mapInArrow(_set_rows(shingle), "key binary, n long, full array<long>").where("key IS NOT NULL")
-    sets = written(sets.dropDuplicates(["key"]), "sets")
+    mine = values.join(shared, "v").groupBy("node").agg(F.count("*").alias("shared"))
+    some = written(mine.join(nodes.select("node", "head", "n"), "node").where(F.col("shared") >= _least_shared(percent, k)).select("node", "head"), "partners")
+    chosen = source.withColumn("head", name).join(small_side(some), "head").select("node", "text")
+    sets = written(chosen.mapInArrow(_set_rows(shingle), "node long, n long, full array<long>"), "sets")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():  # rows that repeat themselves
+        sets, again = written(sets.dropDuplicates(["node"]), "sets"), sets
+        forget(again)
     label = _components(sets, percent, k)
-    heads = nodes.select("key", "head")
-    whole = heads.withColumn("comp", F.col("key")) if label is None else heads.join(label.toDF("key", "root"), "key", "left").select("key", "head", F.coalesce("root", "key").alias("comp"))
-    whole = written(whole, "heads")
+    heads = nodes.select("node", "key", "head")
+    whole = heads.withColumn("comp", F.col("node")) if label is None else heads.join(label.toDF("node", "root"), "node", "left").select("key", "head", F.coalesce("root", "node").alias("comp"))
+    whole = written(whole.select("key", "head", "comp"), "heads")
     forget(nodes, some, sets, *([label] if label is not None else []))
     smallest = whole.groupBy("comp").agg(F.min("head").alias("component"))
     out = thin.join(whole.join(smallest, "comp").select("key", "component"), "key", "left")
