@@ -3,7 +3,8 @@
 The windows of the benchmark (13 consecutive words; a shorter item is one
 window) are hashed and sent to every task; the items are read in blocks of
 bounded size, so the set that travels is bounded whatever the benchmark's size:
-a larger benchmark takes more passes over the texts, each adding to the hits.
+a larger benchmark takes more passes over the texts, each adding to the hits and
+written to the shared folder before the next, so that no two sets travel together.
 A window of a text whose hash is in the set is compared word for word before it
 counts.
 
@@ -24,49 +25,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.textops import ALNUM, Words, slices, text_bytes, windows, within
+from docloom.llm.common import forget, written
+from docloom.llm.textops import ALNUM, Words, ranges, slices, text_bytes, windows, within
 
 #: Words in a window.
 WINDOW = 13
 #: Bytes of benchmark text that one pass carries to the tasks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 _OUT = ("n_words", "n_hit", "hit_spans", "hit_items")
 
 
 class WindowSet:
-    """Windows of benchmark items by hash, each with its words and the items that hold it."""
+    """Windows of benchmark items in sorted arrays of hashes, with the words that they stand for and the items that hold them."""
 
     _BITS = 20
 
     def __init__(self, items: list[tuple[int, str]], window: int):
-        found: dict[int, dict[int, dict[bytes, list[int]]]] = defaultdict(lambda: defaultdict(dict))
-        for item, text in items:
-            data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            w = Words(data, np.array([0, len(data)]), ALNUM)
-            if not len(w):
-                continue
-            n = min(window, len(w))
-            for i, h in enumerate(windows(w.hashes(), n).tolist()):
-                owners = found[n][h].setdefault(w.join(i, n), [])
-                if not owners or owners[-1] != item:
-                    owners.append(item)
+        raw = [(text or "").encode("utf-8", "surrogatepass") for _, text in items]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        words = Words(data, np.cumsum([0, *map(len, raw)]), ALNUM)
+        size = words.end - words.start
+        # all words one after the other, one space between
+        self.start = np.cumsum(size + 1) - (size + 1)
+        self.end = self.start + size
+        joined = np.full(int((size + 1).sum()), ord(" "), np.uint8)
+        joined[ranges(self.start, size)] = words.data[ranges(words.start, size)]
+        self.text = joined.tobytes()
+        hashes, counts = words.hashes(), words.counts(len(items))
+        wide = np.minimum(counts, window)[words.row]  # words of the windows of each word's item
+        ids = np.array([i for i, _ in items], np.int64)
         self.by_length = {}
-        for n, by_hash in sorted(found.items()):
-            keys = np.array(sorted(by_hash), np.uint64)
+        for n in np.unique(wide).tolist():
+            keys = windows(hashes, n)
+            at = np.flatnonzero((wide[: len(keys)] == n) & within(words.row, n))
+            at = at[np.argsort(keys[at], kind="stable")]
             maybe = np.zeros(1 << self._BITS, bool)
-            maybe[(keys >> np.uint64(64 - self._BITS)).astype(np.int64)] = True
-            self.by_length[n] = keys, maybe, dict(by_hash)
+            maybe[(keys[at] >> np.uint64(64 - self._BITS)).astype(np.int64)] = True
+            self.by_length[n] = keys[at], maybe, at, ids[words.row[at]]
 
     def hits(self, words: Words, hashes: np.ndarray):
         """(first word, length, items) of each window of the set that the texts hold."""
-        for n, (keys, maybe, by_hash) in self.by_length.items():
+        for n, (keys, maybe, at, owner) in self.by_length.items():
             w = windows(hashes, n)
-            at = np.flatnonzero(maybe[(w >> np.uint64(64 - self._BITS)).astype(np.int64)] & within(words.row, n))
-            near = np.searchsorted(keys, w[at])
-            near[near == len(keys)] = 0
-            for i in at[keys[near] == w[at]].tolist():
-                owners = by_hash[int(w[i])].get(words.join(i, n))  # word for word
+            some = np.flatnonzero(maybe[(w >> np.uint64(64 - self._BITS)).astype(np.int64)] & within(words.row, n))
+            first, end = (np.searchsorted(keys, w[some], side=side) for side in ("left", "right"))
+            found = np.flatnonzero(first < end)
+            for i, a, b in zip(some[found].tolist(), first[found].tolist(), end[found].tolist(), strict=True):
+                mine = words.join(i, n)  # word for word
+                owners = [int(owner[k]) for k in range(a, b) if self.text[self.start[at[k]] : self.end[at[k] + n - 1]] == mine]
                 if owners:
                     yield i, n, owners
 
@@ -141,7 +148,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     out = docs.drop(*_OUT)
     schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())]))), T.StructField("hit_items", T.ArrayType(T.LongType()))])
     for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        out = out.mapInArrow(_scanner(WindowSet(block, window), text, k == 0), schema)
+        before = written(out, "hits") if k else out
+        if k > 1:
+            forget(last)
+        last = before
+        out = before.mapInArrow(_scanner(WindowSet(block, window), text, k == 0), schema)
     return out
 
 

@@ -3,9 +3,9 @@
 A document is the sequence of its lines that are not blank. With ``whole``, a line
 is deleted if it lies in a run of at least ``min_chars`` characters that also
 occurs earlier, in an earlier document or place; so of each maximal repeated run
-all copies but the first go. Without it, as the SQL of the registered query has
-it, only the shortest run of ``min_chars`` characters from each line on is
-compared: last lines of a repeat that are together shorter than that stay.
+all copies but the first go. Without it only the shortest run of ``min_chars``
+characters from each line on is compared: last lines of a repeat that are together
+shorter than that stay.
 
 Level 0 ranks the lines that occur more than once. Level j + 1 ranks the runs of
 2^(j+1) lines by the pair of ranks of their halves; only runs that occur more
@@ -113,8 +113,9 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     forget(*kept)
     # need is part of the class: two runs of different length may share both ends
     by = ["level", "need", "ra", "rb"]
-    first = done.groupBy(*by).agg(F.min(F.struct("d", "t", "p")).alias("first"))
-    later = done.join(first, by).where(F.struct("d", "t", "p") != F.col("first"))
+    first = done.groupBy(*by).agg(F.min(F.struct("d", "t", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "firsts")  # so that a class of very many runs can be split in the join
+    later = done.join(small_side(first), by).where(F.struct("d", "t", "p") != F.col("first"))
     gone = later.select("d", "t", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("need") - 1)).alias("p")).distinct()
     places = gone.join(lines.select("d", "t", "p", "i"), ["d", "t", "p"])
     # places of one document: runs of consecutive p
@@ -123,7 +124,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     stops = F.filter("x", lambda s, k: F.coalesce(F.get(F.col("x"), k + 1)["p"] != s["p"] + 1, F.lit(True)))
     spans = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda s: F.struct(s["a"]["i"].alias("first"), s["b"]["i"].alias("last"), (s["b"]["p"] - s["a"]["p"] + 1).alias("lines")))
     out = written(grouped.select("d", "t", spans.alias("spans")), "spans")
-    forget(lines, done)
+    forget(lines, done, first)
     return out
 
 

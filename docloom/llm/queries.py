@@ -98,11 +98,15 @@ lines AS (
   WHERE trim(x, ' ') <> ''),
 sums AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id, text ORDER BY p) AS upto FROM lines),
 packed AS (SELECT doc_id, text, list(x ORDER BY p) AS xs, list(upto ORDER BY p) AS ups FROM sums GROUP BY 1, 2),
+pairs AS (
+  SELECT a.doc_id, a.text, a.p, b.p AS q
+  FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.text = b.text AND b.p >= a.p AND b.p < a.p + {linededup.MIN_CHARS} AND b.upto - a.upto + length(a.x) >= {linededup.MIN_CHARS}),
+shortest AS (
+  SELECT doc_id, text, p, min(q) AS q FROM pairs GROUP BY 1, 2, 3
+  UNION SELECT doc_id, text, max(p) AS p, q FROM pairs GROUP BY doc_id, text, q),
 runs AS (
-  SELECT s.doc_id, s.text, s.p, need, array_to_string(list_slice(k.xs, s.p, s.p + need - 1), chr(10)) AS run
-  FROM (SELECT a.doc_id, a.text, a.p, min(b.p) - a.p + 1 AS need
-        FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.text = b.text AND b.p >= a.p AND b.p < a.p + {linededup.MIN_CHARS} AND b.upto - a.upto + length(a.x) >= {linededup.MIN_CHARS}
-        GROUP BY 1, 2, 3) s JOIN packed k ON s.doc_id = k.doc_id AND s.text = k.text),
+  SELECT s.doc_id, s.text, s.p, s.q - s.p + 1 AS need, array_to_string(list_slice(k.xs, s.p, s.q), chr(10)) AS run
+  FROM shortest s JOIN packed k ON s.doc_id = k.doc_id AND s.text = k.text),
 firsts AS (SELECT run, min((doc_id, p)) AS f FROM runs GROUP BY 1),
 gone AS (
   SELECT DISTINCT doc_id, text, unnest(range(p, p + need)) AS p
@@ -121,7 +125,7 @@ FROM documents d LEFT JOIN stat s ON d.doc_id = s.doc_id AND d.text = s.text LEF
 
 @register("op2_line_dedup", _LINES_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)  # as its SQL has it
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "removed_lines", "removed_runs", F.sha2("text", 256).alias("text_sha256"))
 
 
