@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Bytes of a side that may be sent to all tasks.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of rows that go to a Python worker at once; a larger row goes alone.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,15 @@ def forget(*tables: DataFrame) -> None:
                 p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def bound_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """The same frame; texts of its session go to Python in batches of so many bytes at most, a setting of the session that is only ever lowered."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = int(conf.get(name).rstrip("b"))
+    if not 0 < now <= most:
+        conf.set(name, f"{most}b")
+    return df
+
+
 def _width(x: Column, kind: T.DataType) -> Column:
     """Bytes that a value takes, about."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

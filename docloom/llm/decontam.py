@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import forget, written
+from docloom.llm.common import bound_batches, forget, written
 from docloom.llm.textops import ALNUM, Words, ranges, slices, text_bytes, windows, within
 
 #: Words in a window.
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     A word is hit if it lies in an occurrence of a window. ``hit_items`` are the
     ids of the items that have an occurring window, ascending.
     """
-    out = docs.drop(*_OUT)
+    out = bound_batches(docs).drop(*_OUT)
     schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())]))), T.StructField("hit_items", T.ArrayType(T.LongType()))])
     for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
         before = written(out, "hits") if k else out

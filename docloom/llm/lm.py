@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_side, written
+from docloom.llm.common import bound_batches, small_side, written
 from docloom.llm.textops import ALNUM, Words, mix, slices, text_bytes
 
 #: Weight of the fallback, in words, and of the uniform share, in words of the vocabulary.
@@ -137,7 +137,7 @@ def _summed(pairs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Counts over all documents; ``target_ids`` has the ids of the target ones in its first column."""
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("_target")).where(F.col("_target").isNotNull()).distinct()
-    source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
+    source = bound_batches(docs).select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     marked = source.join(small_side(ids), F.col("_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("marked"))
     words = marked.mapInArrow(_word_counts, "word long, n long, m long, cn long, cm long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "m", "cn", "cm")))
     words = written(words, "words")
@@ -148,7 +148,7 @@ def train(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", tex
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """The documents with ``n_words``, ``target_loss``, ``background_loss`` and ``score`` (target less background, by word)."""
     names = ("n_words", "target_loss", "background_loss", "score")
-    source = docs.select(F.col(text).cast("string").alias("text"))
+    source = bound_batches(docs).select(F.col(text).cast("string").alias("text"))
     pairs = model.pairs
     if not source.sameSemantics(model.texts):  # pairs that the model has not seen need their losses too
         unseen = _pairs_of(source.select("text", F.lit(False).alias("marked")))

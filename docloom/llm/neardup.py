@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import forget, small_side, written
+from docloom.llm.common import bound_batches, forget, small_side, written
 from docloom.llm.graph import components
 from docloom.llm.textops import NONSPACE, Words, mix, slices, text_bytes, windows, within
 
@@ -255,7 +255,7 @@ def _components(sets: DataFrame, percent: int, k: int) -> DataFrame | None:
 
 def _judged(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, k: int) -> DataFrame:
     """doc_id, t (hash of the text), n, component (its id), first (whether id and text are the component's first)."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
+    source = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     base = written(source.mapInArrow(_sketcher(shingle, k), f"doc_id {kind}, t long, n long, key binary, sketch array<long>"), "sketches")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")  # a null id is the largest

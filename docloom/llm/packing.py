@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import bound_batches, written
 from docloom.llm.textops import LOWER, NONSPACE, Words, ranges, slices, text_bytes
 
 #: Tokens of a sequence at most.
@@ -265,7 +265,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
 
     ``sequence_id`` is unique over all tasks.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     pieces = written(source.mapInArrow(_pieces(tokenizer, end_id, length, keep_ids), schema), "pieces")

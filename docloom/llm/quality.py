@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.common import bound_batches
 from docloom.llm.textops import ALNUM, NONSPACE, Words, mix, slices, text_bytes
 
 #: Plain insults.
@@ -258,7 +259,7 @@ def _human(labels: DataFrame | None, ids: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, bits: int = BITS, seed: int = 7) -> Model:
     """A model from all documents' votes and the posteriors of about ``train_rows`` of them."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     votes = _human(labels, source.mapInArrow(_vote_rows(False, bits), f"doc_id {kind}, q long, t long"))
     table = votes.groupBy("q", "t").count().collect()
@@ -303,7 +304,7 @@ def _scorer(model: Model, text_at: int):
 def score(docs: DataFrame, model: Model, *, text: str = "text", reject: float = REJECT) -> DataFrame:
     """The documents with ``poor_probability``, ``toxic_probability`` and ``kept``."""
     names = ("poor_probability", "toxic_probability", "kept")
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
+    packed = bound_batches(docs).select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
     schema = T.StructType([packed.schema["_row"], T.StructField("poor_probability", T.DoubleType()), T.StructField("toxic_probability", T.DoubleType())])
     out = packed.mapInArrow(_scorer(model, 1), schema)
     kept = (F.col("poor_probability") <= reject) & (F.col("toxic_probability") <= reject)

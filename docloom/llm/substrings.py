@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import forget, written
+from docloom.llm.common import bound_batches, forget, written
 from docloom.llm.textops import mix, ranges, runs, slices, text_bytes
 
 #: Bytes of a string that must not occur twice.
@@ -55,7 +55,7 @@ LENGTH = 400
 #: Different runs of one name that one task settles at a time, and runs of a task in all.
 CHUNK, TASK = 8_192, 20_000
 #: Bytes of one text handled at a time, and of contexts sent on together.
-SEGMENT, SENT = 4 << 20, 4 << 20
+SEGMENT, SENT = 1 << 20, 1 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,9 +67,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         none = np.zeros(0, np.int64)
         return none, none, none
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    grams = np.lib.stride_tricks.as_strided(padded.view(), (n, 8), (1, 1))
-    word = np.ascontiguousarray(grams).view("<u8").reshape(-1)
-    least = (mix(word + np.uint64(1)) & ~np.uint64((1 << 31) - 1)) | np.arange(n, dtype=np.uint64)
+    least = np.zeros(n, np.uint64)  # of each place: the hash of its gram, and the place in the low bits
+    for k in range(8):
+        least |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    least += np.uint64(1)
+    least = mix(least)
+    least &= ~np.uint64((1 << 31) - 1)
+    least |= np.arange(n, dtype=np.uint64)
     width = 1
     while 2 * width <= half:
         least = np.minimum(least[:-width], least[width:])
@@ -250,7 +254,7 @@ def _settle(length: int):
 
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """row (128-bit name of id and text) and ``spans``: stretches of bytes, first to before last, whose strings occur twice; they may overlap."""
-    source = docs.where(F.octet_length(text) >= length).select(_document(doc_id, text).alias("row"), F.col(text).cast("string").alias("text"))
+    source = bound_batches(docs).where(F.octet_length(text) >= length).select(_document(doc_id, text).alias("row"), F.col(text).cast("string").alias("text"))
     every = written(source.mapInArrow(_runs(length, SEGMENT), "name long, all binary, row binary, at long, before int, count int"), "runs")
     names = every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     some = written(every.join(names.hint("merge"), "name"), "runs")
