@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import common, decontam, kdtree, licences, linededup, lm, neardup, packing, quality, substrings, urls
+from docloom.llm import common, decontam, graph, kdtree, licences, linededup, lm, neardup, packing, quality, substrings, urls
 from docloom.llm.queries import tokenizer_path
 from docloom.llm.textops import ALNUM, NONSPACE, Words, text_bytes
 
@@ -448,12 +448,57 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4] and out.columns == df.columns
 
 
+def test_keep_one_loses_no_text_where_ids_or_rows_repeat(spark):
+    a, b, c = "a b c d e f", "x y z u v w", "k l m n o p q"
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, b), (3, c), (4, ""), (4, ""), (None, c), (5, None)]
+    got = sorted((r["doc_id"], r["text"] or "") for r in neardup.keep_one(spark.createDataFrame(rows, EMPTY).repartition(3)).collect())
+    assert got == [(1, a), (1, b), (3, c), (4, ""), (4, ""), (5, "")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_duplicates_in_large_groups(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for g in range(3):  # copies of one text, some alike enough to it, some only to another copy, some to none
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.choice([60, 90, 150]))]
+        for _ in range(70):
+            w = list(base)
+            for _ in range(rng.randint(0, len(base) // 14)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(30)}"
+            if rng.random() < 0.3:
+                w = w[: rng.randrange(len(w) // 2, len(w))] + [f"y{rng.randrange(9)}"] * rng.randint(0, 9)
+            rows.append((len(rows), " ".join(w)))
+    words = [f"c{k}" for k in range(400)]
+    for k in range(60):  # a chain: each is like the next only
+        rows.append((len(rows), " ".join(words[5 * k : 5 * k + 50])))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, EMPTY).repartition(4))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_near(rows)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(100, 220)] + [(0, k) for k in range(1, 60)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)] + [(500, 500)]
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in parent if top(x) != x}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_rows_without_an_id(spark):
     a, b, line = "a b c d e f", "x y z u v w", "l" * 50
     df = spark.createDataFrame([(1, a), (None, a), (None, b), (2, b + " t")], EMPTY)
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
-    assert got == {(1, 2, 1, True), (None, 2, 1, None), (None, 2, None, None), (2, 3, 2, True)}
-    assert neardup.keep_one(df).count() == 4
+    assert got == {(1, 2, 1, True), (None, 2, 1, False), (None, 2, None, True), (2, 3, 2, True)}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in neardup.keep_one(df).collect()) == [(0, b), (1, a), (2, b + " t")]
     df = spark.createDataFrame([(None, line), (5, line), (None, line), (6, line)], EMPTY)
     assert sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup_lines(df).collect()) == [(0, line), (0, line), (5, line), (6, "")]
 
@@ -553,3 +598,23 @@ def test_pipeline_is_its_stages(spark, tmp_path, rows):
     want = {i for i, _ in now if i not in bad}
     out = P.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_on_odd_tables(spark, tmp_path, empty):
+    import corpus_pipeline as P
+
+    clash = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, spans string, digest long"
+    rng = random.Random(4)
+    prose = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(k)) + "."
+    texts = [prose(40) for _ in range(12)]
+    rows = [] if empty else [(i if i != 3 else None, t, "en", "s", len(t), "k", "w", None, 7) for i, t in enumerate([*texts, texts[0], texts[0]])]
+    for name, data, schema in (("documents", rows, clash), ("benchmark", [], "item_id long, text string"), ("labels", [], "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    out = P.run(spark, str(tmp_path)).collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in out) == ([] if empty else [-1, *(i for i in range(14) if i != 3)])
+    # the two later copies lost their only line before, and texts without words all stay
+    assert sum(r["length"] == 1 for r in out) == (0 if empty else 2)
