@@ -257,13 +257,16 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     source = bound_batches(docs).where(F.octet_length(text) >= length).select(_document(doc_id, text).alias("row"), F.col(text).cast("string").alias("text"))
     every = written(source.mapInArrow(_runs(length, SEGMENT), "name long, all binary, row binary, at long, before int, count int"), "runs")
     names = every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    names = written(names, "names")  # as a table of its own, so that the join can split a name of very many runs
     some = written(every.join(names.hint("merge"), "name"), "runs")
-    forget(every)
+    forget(every, names)
     kinds = written(some.groupBy("name", "all").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "before", "count")).alias("x")), "kinds")
     many = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    many = written(many, "kinds")
     chunks = F.ceil(F.col("kinds") / CHUNK).cast("int")
     asked = kinds.join(many.hint("merge"), "name").select("name", "x.*", (F.col("n") > 1).alias("more"), F.pmod(F.xxhash64("all"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
     asked = written(asked, "asked")
+    forget(many)
     by_row = asked.groupBy("row").agg(F.collect_list(F.struct(*_ASKED)).alias("asked"))  # runs of one document
     # a row that repeats itself gives its runs once
     texts = source.dropDuplicates(["row"]) if source.groupBy("row").count().where("count > 1").limit(1).count() else source
