@@ -33,7 +33,7 @@ from docloom.llm.textops import ALNUM, NONSPACE, Words, mix, slices, text_bytes
 INSULTS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 
 #: Documents, about, whose posteriors train the scorer.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 18_000
 #: Slots of the hashed scorer, as a power of two.
 BITS = 18
 #: How much likelier a vote for bad is on bad documents than on good ones, at least: of a heuristic, and of a human.
@@ -257,7 +257,7 @@ def _human(labels: DataFrame | None, ids: DataFrame) -> DataFrame:
     return out.withColumn("q", F.col("q") * 3 + q).withColumn("t", F.col("t") * 3 + t).drop("_id", "_good", "_toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, bits: int = BITS, seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
     """A model from all documents' votes and the posteriors of about ``train_rows`` of them."""
     source = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -271,7 +271,9 @@ def train(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "do
     bad_q, theta_q, share_q = estimate(counts_q, len(QUALITY_LABELLERS) + 1)
     bad_t, theta_t, share_t = estimate(counts_t, len(TOXIC_LABELLERS) + 1)
     total = sum(counts_q.values())
-    sample = source if total <= train_rows else source.where(F.rand(seed) < train_rows / total)
+    # the same documents whatever the partitioning, and after a lost task too
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * train_rows / max(total, 1))
+    sample = source if total <= train_rows else source.where(drawn)
     rows = _human(labels, sample.mapInArrow(_vote_rows(True, bits), f"doc_id {kind}, q long, t long, slots array<int>")).select("q", "t", "slots", F.xxhash64("doc_id", F.size("slots"), F.element_at("slots", F.lit(-1))).alias("order")).toArrow()
     rows = rows.sort_by("order")  # the same order whatever the partitioning
     slot = rows.column("slots").combine_chunks()
