@@ -33,7 +33,7 @@ from docloom.llm.textops import ALNUM, NONSPACE, Words, mix, slices, text_bytes
 INSULTS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 
 #: Documents, about, whose posteriors train the scorer.
-TRAIN_ROWS = 18_000
+TRAIN_ROWS = 12_000
 #: Slots of the hashed scorer, as a power of two.
 BITS = 18
 #: How much likelier a vote for bad is on bad documents than on good ones, at least: of a heuristic, and of a human.
@@ -279,11 +279,14 @@ def train(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "do
     slot = rows.column("slots").combine_chunks()
     slot = slot.chunk(0) if isinstance(slot, pa.ChunkedArray) else slot
     length = np.diff(np.asarray(slot.offsets)) if len(slot) else np.zeros(0, np.int64)
-    row, slot = np.repeat(np.arange(len(length)), length), np.asarray(slot.flatten()) if len(length) else np.zeros(0, np.int32)
+    row, slot = np.repeat(np.arange(len(length), dtype=np.int32), length), np.asarray(slot.flatten()) if len(length) else np.zeros(0, np.int32)
     goal = lambda name, bad: np.array([bad[k] > 0.5 for k in rows.column(name).to_pylist()], float)
     sure = lambda name: np.array([1.0 if k % 3 != _ABSTAIN or _says_bad(k) else SILENT for k in rows.column(name).to_pylist()])
     said = {"quality": (share_q, dict(zip(("human", *QUALITY_LABELLERS), theta_q, strict=False))), "toxic": (share_t, dict(zip(("human", *TOXIC_LABELLERS), theta_t, strict=False)))}
-    return Model(bits, fit_linear(row, slot, goal("q", bad_q), sure("q"), bits), fit_linear(row, slot, goal("t", bad_t), sure("t"), bits), said)
+    model = Model(bits, fit_linear(row, slot, goal("q", bad_q), sure("q"), bits), fit_linear(row, slot, goal("t", bad_t), sure("t"), bits), said)
+    del rows, row, slot, length  # the driver needs the room for what follows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scorer(model: Model, text_at: int):
