@@ -2,8 +2,8 @@
 
 A document is its token ids followed by an end id. Only a longer one than a
 sequence is cut. The pieces (ids aside, a few numbers each) are dealt to tasks of
-very many, and each task packs its own online: a fixed number of sequences is
-open; a bitset holds which free spaces occur among them, so the best fit is the
+very many, and each task packs its own online, of the next few (twice as many as
+sequences may be open) the longest first: a fixed number of sequences is open; a bitset holds which free spaces occur among them, so the best fit is the
 lowest set bit at or above the piece's length; when too many are open, the
 fullest closes. What is open when a task ends closes as it is, ``most_open``
 sequences at most out of hundreds of thousands.
@@ -38,7 +38,7 @@ from docloom.llm.textops import LOWER, NONSPACE, Words, ranges, slices, text_byt
 #: Tokens of a sequence at most.
 LENGTH = 2048
 #: Sequences open at a time.
-OPEN = 1_024
+OPEN = 2_048
 #: Pieces that one task packs, about.
 PER_TASK = 2_000_000
 #: Runs of characters that a task keeps the ids of.
@@ -247,13 +247,23 @@ def _packer(length: int, most_open: int):
                 number += 1
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), [*kinds, pa.int64(), pa.int64()], strict=True)], names=[*names, "sequence", "offset"])
 
-        for batch in batches:
-            names, kinds = batch.schema.names, batch.schema.types
+        def placed(some: list):
             closed = []
-            for size, piece in zip(batch.column(3).to_pylist(), zip(*(c.to_pylist() for c in batch.columns), strict=True), strict=True):
-                closed += fit.put(size, piece)
+            for piece in sorted(some, key=lambda x: -x[3]):
+                closed += fit.put(piece[3], piece)
             if closed:
                 yield rows(closed)
+
+        waiting: list = []
+        for batch in batches:
+            names, kinds = batch.schema.names, batch.schema.types
+            for piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                waiting.append(piece)
+                if len(waiting) == 2 * most_open:
+                    yield from placed(waiting)
+                    waiting = []
+        if waiting:
+            yield from placed(waiting)
         if fit.open:
             yield rows(fit.rest())
 
