@@ -390,6 +390,51 @@ def test_url_trees_learn(spark):
     assert {r["verdict"] for r in out.collect()} == {"allow"}
 
 
+def plain_trees(rows, names, edges, trees, depth, rate, ridge, least):
+    """Log-odds of each row by boosted trees grown row by row."""
+    bins = [{c: sum(r[c] >= e for e in edges[c]) for c in names} for r in rows]
+    y = np.array([r["_y"] for r in rows], float)
+    score = np.full(len(rows), np.log(y.sum() / (len(y) - y.sum())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p)
+
+        def grow(at, level, g=g, h=h):
+            best = None
+            if level < depth:
+                for c in names:
+                    for b in sorted({bins[i][c] for i in at})[:-1]:
+                        low = [i for i in at if bins[i][c] <= b]
+                        if min(len(low), len(at) - len(low)) < least:
+                            continue
+                        gl, hl, ga, ha = g[low].sum(), h[low].sum(), g[at].sum(), h[at].sum()
+                        gain = gl * gl / (hl + ridge) + (ga - gl) ** 2 / (ha - hl + ridge) - ga * ga / (ha + ridge)
+                        if gain > 1e-3 and (best is None or gain > best[0] + 1e-9):
+                            best = gain, c, b
+            if best is None:
+                score[at] += rate * g[at].sum() / (h[at].sum() + ridge)
+                return
+            for side in ([i for i in at if bins[i][best[1]] <= best[2]], [i for i in at if bins[i][best[1]] > best[2]]):
+                grow(side, level + 1)
+
+        grow(list(range(len(rows))), 0)
+    return score
+
+
+def test_url_trees_are_those_of_plain_boosting(spark):
+    rng = random.Random(6)
+    names = ["u", "v", "w"]
+    rows = [{c: float(round(rng.random() * 8, 2)) for c in names} for _ in range(400)]
+    for r in rows:
+        r["_y"] = int(r["u"] + 2 * (r["v"] > 4) + rng.random() * 2 > 6)
+    df = spark.createDataFrame([tuple(r[c] for c in (*names, "_y")) for r in rows], "u double, v double, w double, _y long").repartition(3)
+    model = urls.train(df, names, trees=4, depth=3)
+    got = {(r["u"], r["v"], r["w"]): r["s"] for r in df.select(*names, model.score({c: model.bin(c, F.col(c)) for c in names}).alias("s")).collect()}
+    want = plain_trees(rows, names, model.edges, 4, 3, 0.4, 1.0, 20)
+    assert all(abs(got[r["u"], r["v"], r["w"]] - s) < 1e-4 for r, s in zip(rows, want.tolist(), strict=True))
+    assert len(model.trees) == 4 and any(t["splits"] for t in model.trees)
+
+
 # near duplicates
 
 
