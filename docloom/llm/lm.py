@@ -138,8 +138,8 @@ def _rows(kind: int, top: Top, busy: np.ndarray, parts: np.ndarray, loss):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                key, marked = batch.column(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(2))
-                data, off, _ = text_bytes(batch.column(1))
+                key, name, marked = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(3))
+                data, off, _ = text_bytes(batch.column(2))
                 words = Words(data, off, ALNUM)
                 h, before, last = _hashed(words)
                 a, b = top.places(h, before)
@@ -147,10 +147,10 @@ def _rows(kind: int, top: Top, busy: np.ndarray, parts: np.ndarray, loss):
                 made = []
 
                 def put(word, before, row, what, t=None, b=None):
-                    salt = np.zeros(len(word), np.int64)
+                    salt = np.zeros(len(word), np.int64) if t is None else key[row] & 0xFFFFF  # noqa: B023
                     k = np.searchsorted(busy, word)
                     k[k == len(busy)] = 0
-                    some = np.flatnonzero(busy[k] == word) if len(busy) else np.zeros(0, np.int64)
+                    some = np.flatnonzero(busy[k] == word) if len(busy) and t is None else np.zeros(0, np.int64)
                     salt[some] = (before[some] % parts[k[some]].astype(np.uint64)).astype(np.int64)
                     sums = [pa.nulls(len(word), pa.float64()) if x is None else pa.array(x) for x in (t, b)]
                     made.append(pa.RecordBatch.from_arrays([_signed(word), pa.array(salt.astype(np.int32)), _signed(before), pa.array(key[row]), pa.array(what), *sums], names=["word", "salt", "before", "key", "what", "t", "b"]))  # noqa: B023
@@ -175,7 +175,7 @@ def _rows(kind: int, top: Top, busy: np.ndarray, parts: np.ndarray, loss):
                         total += np.bincount(words.row, weights=own, minlength=batch.num_rows)
                     n = words.counts(batch.num_rows)
                     have = np.flatnonzero(n > 0)
-                    put(key[have].view(np.uint64), np.full(len(have), SUMS, np.uint64), have, n[have] * 8 + SCORED, sums[0][have], sums[1][have])
+                    put(name[have].view(np.uint64), np.full(len(have), SUMS, np.uint64), have, n[have] * 8 + SCORED, sums[0][have], sums[1][have])
                 yield from made
 
     return run
@@ -254,7 +254,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     deal = lambda kind: _rows(kind, top, words_of[order], parts_of[order], losses)
     plain = F.col(text).cast("string")
     source = bound_batches(docs).select(plain.alias("text"))
-    keyed = lambda df, mark: df.select(F.xxhash64("text").alias("key"), "text", mark.alias("marked"))
+    # a text's number is short beside its hash, which only the row of its sums carries
+    keyed = lambda df, mark: df.select(F.monotonically_increasing_id().alias("key"), F.xxhash64("text").alias("name"), "text", mark.alias("marked"))
     if source.sameSemantics(model.texts):
         rows = keyed(model.marked, F.col("marked")).mapInArrow(deal(SCORED | COUNTED), _ROW)
     else:  # the model's pairs, and those of other texts
@@ -273,11 +274,12 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         loss = losses.pair(k, F.col(pair), zero(word)) + F.when(F.coalesce("top", F.lit(False)), F.lit(0.0)).otherwise(context)
         return F.when(F.col("before") == SUMS, F.col(own)).when(F.col("before") == LAST, -context).otherwise(times * loss)
 
-    # equal texts are summed together: their mean is that of each
-    tokens = F.sum(F.when(F.col("before") == SUMS, times))
-    sums = both.groupBy("key").agg((F.sum(part(0, "t", "m", "wm", "cm")) / tokens).alias("target"), (F.sum(part(1, "b", "n", "wn", "cn")) / tokens).alias("background"))
-    sums = small_side(written(sums, "losses"))
+    own = F.col("before") == SUMS
+    tokens, name = F.sum(F.when(own, times)), F.max(F.when(own, F.col("word")))
+    sums = both.groupBy("key").agg(name.alias("name"), (F.sum(part(0, "t", "m", "wm", "cm")) / tokens).alias("target"), (F.sum(part(1, "b", "n", "wn", "cn")) / tokens).alias("background"))
+    # equal texts have equal losses
+    sums = small_side(written(sums.groupBy("name").agg(F.max("target").alias("target"), F.max("background").alias("background")), "losses"))
     words = F.coalesce(F.regexp_count(plain, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     base = docs.select(*(c for c in docs.columns if c not in names), words.alias("n_words"), F.xxhash64(plain).alias("_key"))
-    out = base.join(sums.select(F.col("key").alias("_text_key"), F.round("target", 6).alias("target_loss"), F.round("background", 6).alias("background_loss")), (F.col("_key") == F.col("_text_key")) & (F.col("n_words") > 0), "left")
+    out = base.join(sums.select(F.col("name").alias("_text_key"), F.round("target", 6).alias("target_loss"), F.round("background", 6).alias("background_loss")), (F.col("_key") == F.col("_text_key")) & (F.col("n_words") > 0), "left")
     return out.withColumn("score", F.round(F.col("target_loss") - F.col("background_loss"), 6)).select(*(c for c in docs.columns if c not in names), *names)
