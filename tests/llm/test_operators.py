@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import common, decontam, graph, kdtree, licences, linededup, lm, neardup, packing, quality, substrings, urls
+from docloom.llm import common, decontam, graph, kdtree, licences, linededup, lm, neardup, packing, quality, registry, substrings, urls
 from docloom.llm.queries import tokenizer_path
 from docloom.llm.textops import ALNUM, NONSPACE, Words, text_bytes
 
@@ -594,6 +594,18 @@ def test_substring_dedup_tells_texts_apart_that_simple_hashes_do_not(spark):
     assert {i: n for i, _, n, *_ in got}[1] == 0
 
 
+def test_substring_dedup_goes_by_bytes_not_by_words(spark, tmp_path):
+    rng = random.Random(10)
+    words = lambda size, n: " ".join("".join(rng.choice("abcdefghij") for _ in range(k + 1)) for k in np.diff(np.linspace(0, size + 1, n + 1).astype(int)) - 2)
+    short, long = words(399, 60), words(400, 60)
+    rows = [(1, "A " + short + " A"), (2, "B" + short + "B"), (3, "C" + long + "C"), (4, "D" + long + "D"), (5, words(500, 80))]
+    assert (len(short), len(long), len(short.split()), len(long.split())) == (399, 400, 60, 60)
+    spark.createDataFrame(rows, EMPTY).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in registry.queries()["op10_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    left = {i: {3: "CC", 4: "DD"}.get(i, t) for i, t in rows}
+    assert got == {i: (len(t), len(t) - len(left[i]), hashlib.sha256(left[i].encode()).hexdigest()) for i, t in rows}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_interleave_refinement(seed):
     rng = random.Random(seed)
